@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCRATCH: set[str] = set()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Make sure the session has a checkpoint folder and return it.
@@ -23,10 +27,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder below the checkpoint folder; removed when the program ends."""
+    sc = spark.sparkContext
+    path = f"{checkpoint_dir(spark)}/logosmill-{sc.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_remove, sc, path)
+    return path
+
+
+def _remove(sc, path: str) -> None:
+    try:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, written to the shared folder, lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    The lineage ends there and lost executors lose nothing.  A table is used rather than
+    ``checkpoint()``, which carries the optimizer's size estimates and constraints
+    along: over the rounds of an iterative operator these multiply until planning takes
+    minutes.  A table's sizes are real ones, and its columns can be pruned.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
