@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logosmill.llm import canonical, sentences
+from logosmill.llm import canonical, leakage, packing, sentences, spam, splitting
 from logosmill.session import table
 
 
@@ -22,6 +22,28 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
         "segment_key", F.col("text_canonical").alias("text"), F.col("original_text_canonical").alias("original_text"))
 
 
+def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda name, key: F.concat(F.lit(f"{name}|"), F.col(key).cast("string")).alias("row_id")
+    a = table(spark, sf_dir, "prepared_segments").select(item("prepared_segments", "segment_key"), "text", "requirement_id")
+    b = table(spark, sf_dir, "rst_documents").select(item("rst_documents", "document_id"), "text", "requirement_id")
+    return a.unionByName(b)
+
+
+def _item_columns() -> list:
+    return [F.substring_index("row_id", "|", 1).alias("item_table"), F.expr("substring(row_id, instr(row_id, '|') + 1)").alias("item_key")]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(_sized_items(spark, sf_dir), table(spark, sf_dir, "requirements"), with_text=False)
+    return pieces.where("piece_no = 1").select(*_item_columns()).distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized texts."""
+    pieces = splitting.split_oversized(_sized_items(spark, sf_dir), table(spark, sf_dir, "requirements"))
+    return pieces.select(*_item_columns(), "piece_no", "n_pieces", "start_pos", "stop_pos", "overlap", "size", "limit", "cut", "piece")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.unit_offsets(table(spark, sf_dir, "rst_documents"))
 
@@ -31,5 +53,30 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "rst_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_sentences": p3_sentences}
-ORACLES: dict[str, str] = {}
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into the containers of the packing requirements."""
+    containers = [
+        (r[0], int(r[1])) for r in table(spark, sf_dir, "requirements").where("capacity_unit = 'tokenizer_tokens' and capacity_maximum is not null").select(
+            "requirement_id", F.col("capacity_maximum") - F.coalesce("capacity_margin", F.lit(0))).orderBy("requirement_id").collect()]
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), containers)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_pieces, p3_found, p3_sentences, p6_pack, p7_found, p8_found)}
+
+ORACLES = {
+    "p2_found": r"""
+WITH items AS (
+  SELECT 'prepared_segments' AS item_table, CAST(segment_key AS VARCHAR) AS item_key, text, requirement_id FROM prepared_segments
+  UNION ALL SELECT 'rst_documents', document_id, text, requirement_id FROM rst_documents)
+SELECT DISTINCT item_table, item_key FROM items JOIN requirements USING (requirement_id)
+WHERE CASE capacity_unit WHEN 'code_points' THEN length(text) WHEN 'utf8_bytes' THEN strlen(text)
+      WHEN 'whitespace_tokens' THEN len(regexp_extract_all(text, '[^ \t\r\n]+')) END > capacity_maximum - coalesce(capacity_margin, 0)""",
+}
