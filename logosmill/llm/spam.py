@@ -65,7 +65,7 @@ def page_features(text: str) -> tuple[float, ...]:
     bad = link = repeat = listed = sentence = urls = units = functions = words_all = 0
     for line in _UNIT.findall(text):
         tabular = line.count(" | ") >= 2 and _PRICE.search(line)
-        parts = [line] if tabular or _ANCHOR.search(line) else _SENTENCE.findall(line)
+        parts = [line] if tabular or _ANCHOR.search(line) or _REFERENCE.match(line) else _SENTENCE.findall(line)
         for unit in parts:
             size = sum(1 for c in unit if not c.isspace())
             if not size:
