@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logosmill.plans import structure_queries
+from logosmill.plans import argumentation_queries, structure_queries
 
-MODULES = [structure_queries]
+MODULES = [structure_queries, argumentation_queries]
 
 
 def queries() -> dict:
