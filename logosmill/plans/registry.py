@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logosmill.plans import argumentation_queries, structure_queries
+from logosmill.plans import argumentation_queries, scoring_queries, structure_queries, text_queries
 
-MODULES = [structure_queries, argumentation_queries]
+MODULES = [structure_queries, argumentation_queries, text_queries, scoring_queries]
 
 
 def queries() -> dict:
