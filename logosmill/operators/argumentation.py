@@ -117,7 +117,7 @@ def predicates(sets: DataFrame) -> DataFrame:
         "is_complete", free & (acc == s)).withColumn("is_stable", free & (hit.bitwiseOR(s) == _bit(n) - 1))
 
 
-def named(mask: Column, names: Column = F.col("names")) -> Column:
+def named(mask: Column, names: str = "names") -> Column:
     """Members of a mask in argument order, as an array."""
     return F.filter(names, lambda _, i: _bit(i).bitwiseAND(mask) != 0)
 

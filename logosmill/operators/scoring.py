@@ -75,13 +75,11 @@ def soft_matches(gold: DataFrame, pred: DataFrame, unit: str, threshold: float =
     Maximum bipartite matching by augmenting paths, per document; Python because an
     augmentation depends on all earlier ones.
     """
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf.side == "g"][["s", "e"]].to_numpy()
-        p = pdf[pdf.side == "p"][["s", "e"]].to_numpy()
+    def most(golds, preds) -> int:
         edges = []
-        for a, b in g:
+        for a, b in golds:
             row = []
-            for k, (c, d) in enumerate(p):
+            for k, (c, d) in enumerate(preds):
                 inter = max(0, min(b, d) - max(a, c))
                 whole = (b - a) + (d - c) - inter
                 if whole > 0 and inter / whole >= threshold:
@@ -98,12 +96,17 @@ def soft_matches(gold: DataFrame, pred: DataFrame, unit: str, threshold: float =
                         return True
             return False
 
-        n = sum(grow(i, set()) for i in range(len(g)))
-        return pd.DataFrame([(pdf[unit].iloc[0], len(g), len(p), n)], columns=[unit, "gold", "pred", "matched"])
+        return sum(grow(i, set()) for i in range(len(edges)))
 
-    side = lambda df, s: df.select(unit, F.lit(s).alias("side"), F.col("start_pos").alias("s"), F.col("stop_pos").alias("e"))
-    kind = dict(gold.dtypes)[unit]
-    return side(gold, "g").unionByName(side(pred, "p")).groupBy(unit).applyInPandas(match, f"{unit} {kind}, gold bigint, pred bigint, matched bigint")
+    @F.pandas_udf("bigint")
+    def matched(g0: pd.Series, g1: pd.Series, p0: pd.Series, p1: pd.Series) -> pd.Series:
+        return pd.Series([most(list(zip(a, b)), list(zip(c, d))) for a, b, c, d in zip(g0, g1, p0, p1)])
+
+    # One row a document, so that documents travel in batches rather than one by one.
+    side = lambda df, s: df.select(unit, F.lit(s).alias("side"), F.col("start_pos").cast("bigint").alias("s"), F.col("stop_pos").cast("bigint").alias("e"))
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("s", "e"))))
+    rows = side(gold, "g").unionByName(side(pred, "p")).groupBy(unit).agg(of("g").alias("g"), of("p").alias("p"))
+    return rows.select(unit, F.size("g").cast("bigint").alias("gold"), F.size("p").cast("bigint").alias("pred"), matched("g.s", "g.e", "p.s", "p.e").alias("matched"))
 
 
 def bootstrap(scores: DataFrame, unit: str, a: str = "a", b: str = "b", rounds: int = 1000, seed: int = 13) -> DataFrame:
