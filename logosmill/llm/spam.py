@@ -84,7 +84,8 @@ def page_features(text: str) -> tuple[float, ...]:
             prose = len(set(function)) >= 2 and share >= 0.15 or (share >= 0.25 and len(rest) >= 3)
             prose = prose or bool(_NO_CASE.search(bare) and _END.search(unit))
             again = sum(1 for w in other if w in often) / len(other) if other else 0.0
-            is_link = (found or anchors) and not prose and not _REFERENCE.match(unit)
+            prose = prose or bool(_REFERENCE.match(unit))
+            is_link = (found or anchors) and not prose
             is_listed = bool(tabular) or (not prose and bool(_PRICE.search(unit)))
             is_repeat = not prose and again >= 0.4 and bool(other)
             link += size * bool(is_link)
