@@ -227,11 +227,11 @@ def from_toulmin(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def from_walton(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scheme instances and their pressed critical questions.
 
-    ``instances``: af_id, ord, questions array<struct<index,status>>.  A question presses
-    its instance unless it is addressed or cannot be assessed; ids are scheme_n and scheme_n_cq_index.
+    ``instances``: af_id, ord, questions array<struct<index,status>>.  A pressed question attacks
+    its instance; ids are scheme_n and scheme_n_cq_index.
     """
     rows = instances.withColumn("scheme", F.concat(F.lit("scheme_"), F.row_number().over(Window.partitionBy("af_id").orderBy("ord"))))
-    asked = rows.select("af_id", "scheme", F.explode("questions").alias("q")).where("q.status not in ('addressed', 'answered', 'not_assessable')").select(
+    asked = rows.select("af_id", "scheme", F.explode("questions").alias("q")).where("q.status in ('open', 'undercut', 'challenged', 'unanswered_challenge', 'refuted')").select(
         "af_id", "scheme", F.concat("scheme", F.lit("_cq_"), F.col("q.index")).alias("arg"), F.col("q.index").cast("long").alias("ord"))
     args = rows.select("af_id", F.col("scheme").alias("arg"), "ord").unionByName(asked.select("af_id", "arg", "ord"))
     return args, asked.select("af_id", F.col("arg").alias("src"), F.col("scheme").alias("dst"))

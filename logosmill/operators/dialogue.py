@@ -61,7 +61,7 @@ def commitment_conflicts(acts: DataFrame) -> DataFrame:
 IBIS_GRAMMAR = [
     ("responds_to", "position", "issue"), ("supports", "argument", "position"), ("objects_to", "argument", "position"),
     ("generalizes", "issue", "issue"), ("specializes", "issue", "issue"), ("questions", "issue", "issue"), ("questions", "issue", "position"),
-    ("questions", "issue", "argument"), ("suggested_by", "issue", "issue"), ("suggested_by", "issue", "position"), ("suggested_by", "issue", "argument"), ("replaces", "issue", "issue"),
+    ("questions", "issue", "argument"), ("is_suggested_by", "issue", "issue"), ("is_suggested_by", "issue", "position"), ("is_suggested_by", "issue", "argument"), ("replaces", "issue", "issue"),
 ]
 
 
