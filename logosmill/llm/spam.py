@@ -155,7 +155,7 @@ def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", host:
     return out.join(broadcast_if_small(hosts), "host", "left").withColumn("smoothed", smoothed)
 
 
-def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_score: float = 0.15) -> DataFrame:
+def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_score: float = 0.15, per_class: int = 5_000) -> DataFrame:
     """Keys of pages of which more than half of the characters are in spam units."""
-    pages = scored(documents.where(F.col(key).isNotNull()), key, text, host)
+    pages = scored(documents.where(F.col(key).isNotNull()), key, text, host, per_class=per_class)
     return pages.where((F.col("smoothed") >= least_score) & (F.col("bad_share") > 0.5)).select(key).distinct()
