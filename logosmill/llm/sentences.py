@@ -49,33 +49,41 @@ def _words(words: str) -> str:
 
 
 def mask_steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order; a replacement is as long as its match."""
-    inside = {"“": "”", "„": "“”", "«": "»", "(": ")", "（": "）", "「": "」"}
+    """(pattern, replacement) in order; a replacement is as long as its match.
+
+    Patterns begin with the mark itself, so that what is looked for around it is only
+    looked for there.
+    """
+    # What isn't a mark of the pair, and the closing mark.  Neighbouring marks are given
+    # as ranges, which are matched much faster than lists.
+    inside = [
+        ("[^\\u201c-\\u201d]", "\\u201d"), ("[^\\u201c-\\u201e]", "(?<!\\s)[\\u201c-\\u201d]"), ("[^\\u00ab\\u00bb]", "\\u00bb"),
+        ("[^()]", "\\)"), ("[^\\uff08-\\uff09]", "\\uff09"), ("[^\\u300c-\\u300d]", "\\u300d")]
     goes_on = f"{_GAP}(?:[,;:\\u060c\\u061b\\u3001\\uff0c\\uff1b\\uff1a\\u2013\\u2014]|-\\s|{_SMALL}|[{_CASELESS}])"
     steps = [
         (f"[{MASK}{CUT}]", "�"),  # private-use characters that were there before
         # URLs and addresses
         (r"[.?!;](?=[\p{L}\p{N}/=&#_~%-])(?<=(?:://|www\.|@)\S{0,400}[.?!;])", MASK),
         # decimals, dates, versions, sections; then dotted words
-        (r"(?<=[\p{N}\p{L}])[.!?·](?=\p{N})", MASK),
-        (r"(?<=\p{L})\.(?=\p{L})(?!(?<=\p{Ll}{2}\.)\p{Lu}(?:\p{Ll}|\s|\.))", MASK),
+        (r"[.!?·](?=\p{N})(?<=[\p{N}\p{L}][.!?·])", MASK),
+        (r"\.(?=\p{L})(?<=\p{L}\.)(?!(?<=\p{Ll}{2}\.)\p{Lu}(?:\p{Ll}|\s|\.))", MASK),
         # initials
-        (r"(?<=(?:^|[\s" + MASK + r"(\[“„«\"'-])\p{Lu})\.(?=" + _GAP + r"[\p{L}\p{N},;:])", MASK),
+        (r"\.(?<=(?:^|[\s" + MASK + r"(\[“„«\"'-]|\p{Ll}{2}[.?!])\p{Lu}\.)(?=" + _GAP + r"[\p{L}\p{N},;:])", MASK),
         # abbreviations
-        (f"(?<={_BEFORE_WORD}{_words(OPENING)})\\.(?={_GAP}[\\p{{L}}\\p{{N}}\\p{{S}}\\p{{Ps}}\\p{{Pi}}\"'„])", MASK),
-        (f"(?<={_BEFORE_WORD}{_words(BEFORE_NUMBERS)})\\.(?={_GAP}\\p{{N}})", MASK),
-        (f"(?<={_BEFORE_WORD}\\p{{Ll}}{{1,2}})\\.(?={_GAP}\\p{{Ll}}{{1,3}}[.{MASK}])", MASK),
-        (f"(?<=(?:^|[\\s(])\\p{{Ll}})\\.(?={_GAP}\\p{{Lu}}[.{MASK}])", MASK),
+        (f"\\.(?<={_BEFORE_WORD}{_words(OPENING)}\\.)(?={_GAP}[\\p{{L}}\\p{{N}}\\p{{S}}\\p{{Ps}}\\p{{Pi}}\"'„])", MASK),
+        (f"\\.(?={_GAP}\\p{{N}})(?<={_BEFORE_WORD}{_words(BEFORE_NUMBERS)}\\.)", MASK),
+        (f"\\.(?<={_BEFORE_WORD}\\p{{Ll}}{{1,2}}\\.)(?={_GAP}\\p{{Ll}}{{1,3}}[.{MASK}])", MASK),
+        (f"\\.(?<=(?:^|[\\s(])\\p{{Ll}}\\.)(?={_GAP}\\p{{Lu}}[.{MASK}])", MASK),
         # list marks at the start of a line that doesn't go on with a sentence
-        (r"(?<=(?:^|\n[ \t]{0,8}\r?\n|[.?!:…。।።፧][”»’\")]?[ \t]{0,4}\r?\n)[ \t>*|-]{0,8}(?:#{1,6} {1,3})?"
-         + _LIST_MARK + r")\.(?=[ \t])", MASK),
+        (r"\.(?=[ \t])(?<=(?:^|\n[ \t]{0,8}\r?\n|[.?!:…。।።፧][”»’\")]?[ \t]{0,4}\r?\n)[ \t>*|-]{0,8}(?:#{1,6} {1,3})?"
+         + _LIST_MARK + r"\.)", MASK),
         # ordinals and dates in figures
-        (r"(?<=" + _BEFORE_WORD + r"\p{N}{1,2})\.(?=\s\p{N}{1,2}\.\s\p{N}{2,4}\b)", MASK),
-        (r"(?<=" + _BEFORE_WORD + r"\p{N}{1,2}[." + MASK + r"]\s\p{N}{1,2})\.(?=\s\p{N}{2,4}\b)", MASK),
-        (r"(?<=" + _BEFORE_WORD + r"\p{N}{1,2})\.(?=\s(?:" + "|".join(MONTHS.split()) + r")\b)", MASK),
+        (r"\.(?=\s\p{N}{1,2}\.\s\p{N}{2,4}\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}\.)", MASK),
+        (r"\.(?=\s\p{N}{2,4}\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}[." + MASK + r"]\s\p{N}{1,2}\.)", MASK),
+        (r"\.(?=\s(?:" + "|".join(MONTHS.split()) + r")\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}\.)", MASK),
         # marks inside a quotation or parenthesis after which the sentence goes on
-        *((f"[.?!;\\u2026\\u061f](?=[^{a}{b}]{{0,600}}{'(?<!\\s)' if a == '„' else ''}[{b}](?:{goes_on}{'|[.?!;]' if b in ')）' else ''}))", MASK) for a, b in inside.items()),
-        ("[.?!\\u2026\\u061f](?=(?:[^\"]{0,600}[.?!,\\u2026" + MASK + "])?\"" + goes_on + ")", MASK),
+        *((f"[.?!;\\u2026\\u061f](?={a}{{0,600}}+{b}(?:{goes_on}{'|[.?!;]' if b in (inside[3][1], inside[4][1]) else ''}))", MASK) for a, b in inside),
+        ("[.?!\\u2026\\u061f](?=[^\"]{0,600}+(?<=[.?!,\\u2026" + MASK + "])\"" + goes_on + ")", MASK),
         (f"[？！?!](?={_CLOSE}+[{_CJK}])", MASK),
         (f"[。](?={_CLOSE}+と)", MASK),
         # a mark before a small letter, a comma or the like
@@ -87,9 +95,9 @@ def mask_steps() -> list[tuple[str, str]]:
 #: What ends a unit, with the closing marks that belong to it, by script.
 ENDINGS = [
     # scripts with spaces between words; the Greek question mark
-    f"(?:[.?!\\u2026\\u061f\\u06d4]+|(?<=\\p{{IsGreek}});)(?:[ \\u00a0\\u202f]?\\u00bb|{_CLOSE})*(?={_WHITE}|$)",
+    f"(?:[.?!\\u2026\\u061f\\u06d4]+|;(?<=\\p{{IsGreek}};))(?:[ \\u00a0\\u202f]?\\u00bb|{_CLOSE})*(?={_WHITE}|$)",
     # the same where the space is missing
-    f"(?<=\\p{{Ll}}{{2}})[.?!]+{_CLOSE}*(?=\\p{{Lu}}(?:\\p{{Ll}}|[\\s.{MASK}]))",
+    f"[.?!](?<=\\p{{Ll}}{{2}}[.?!])[.?!]*{_CLOSE}*(?=\\p{{Lu}}(?:\\p{{Ll}}|[\\s.{MASK}]))",
     # scripts without
     f"[\\u3002\\uff01\\uff1f\\uff61]+{_CLOSE}*",
     # dandas, Ethiopic full stops and question marks
@@ -97,9 +105,9 @@ ENDINGS = [
     # a blank line
     f"{_BLANK}*\\r?\\n{_BLANK}*\\r?\\n{_WHITE}*",
     # a marked heading's line
-    "(?<=(?:^|\\n)#{1,6} [^\\n]{1,400})\\n",
+    "(?<![^\\n])#{1,6} [^\\n]*\\n",
     # a space in Thai that isn't next to a digit
-    f"(?<=[\\u0e00-\\u0e7f]{_CLOSE}?)[ \\u00a0]+(?=[^\\p{{N}}\\s])",
+    f"[ \\u00a0](?<=[\\u0e00-\\u0e7f]{_CLOSE}?[ \\u00a0])[ \\u00a0]*(?=[^\\p{{N}}\\s])",
 ]
 
 
