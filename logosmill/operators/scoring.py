@@ -15,10 +15,14 @@ def multiset_counts(gold: DataFrame, pred: DataFrame, unit: list[str], criteria:
     Null keys compare equal.  Units present on one side only count with zero on the other.
     """
     sides = gold.withColumn("_g", F.lit(1)).withColumn("_p", F.lit(0)).unionByName(pred.withColumn("_g", F.lit(0)).withColumn("_p", F.lit(1)))
-    def one(name: str, keys: list[str]) -> DataFrame:
-        per = sides.groupBy(*unit, *keys).agg(F.sum("_g").alias("g"), F.sum("_p").alias("p"))
-        return per.groupBy(*unit).agg(F.sum("g").alias("gold"), F.sum("p").alias("pred"), F.sum(F.least("g", "p")).alias("matched")).withColumn("criterion", F.lit(name))
-    return reduce(DataFrame.unionByName, [one(n, k) for n, k in criteria.items()])
+    keys = list(dict.fromkeys(k for ks in criteria.values() for k in ks))
+    kinds = dict(sides.dtypes)
+    # Every row once for each criterion, so that one shuffle serves them all.
+    each = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("criterion"), *[(F.col(k) if k in ks else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for name, ks in criteria.items()]))
+    per = sides.select(*unit, each.alias("_k"), "_g", "_p").groupBy(*unit, "_k").agg(F.sum("_g").alias("g"), F.sum("_p").alias("p"))
+    return per.groupBy(*unit, F.col("_k.criterion").alias("criterion")).agg(
+        F.sum("g").alias("gold"), F.sum("p").alias("pred"), F.sum(F.least("g", "p")).alias("matched"))
 
 
 def with_prf(counts: DataFrame, empty_is_one: bool = False) -> DataFrame:

@@ -26,18 +26,44 @@ def folded(text: Column) -> Column:
 
 
 def cue_pattern(phrases: list[str]) -> str:
-    """Alternation with the longest phrase first, so that the leftmost longest one matches."""
-    return "|".join(re.escape(p).replace("\\ ", " ") for p in sorted(set(phrases), key=lambda p: (-len(p), p)))
+    """Pattern of which the leftmost longest phrase matches.
+
+    A tree of shared beginnings, so that at most places in a text one character decides.
+    """
+    tree: dict = {}
+    for p in set(phrases):
+        at = tree
+        for c in p:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def write(node: dict) -> str:
+        ends = "" in node
+        branches = [(" " if c == " " else re.escape(c)) + write(node[c]) for c in sorted(k for k in node if k)]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and not ends else "(?:" + "|".join(branches) + ")"
+        return body + "?" if ends else body
+
+    return write(tree)
 
 
 def _hits(text: Column, pattern: str) -> Column:
-    """Matches with word boundaries, as array<struct<phrase, at>>; a match without them hides shorter ones at its place."""
-    low = folded(text)
-    parts, found = F.split(low, pattern, -1), F.regexp_extract_all(low, F.lit(f"({pattern})"), F.lit(1))
-    edge = lambda s, side: s.rlike(f"{_WORD_EDGE}$" if side == "before" else f"^{_WORD_EDGE}")
-    # Zipped, as a lambda would evaluate an array outside it once for every element.
-    zipped = F.arrays_zip(found.alias("phrase"), parts.alias("before"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("after"))
-    return F.filter(zipped, lambda x: x["phrase"].isNotNull() & ~edge(x["before"], "before") & ~edge(x["after"], "after"))
+    """Matches with word boundaries, as array<struct<phrase, ...>>; a match without them hides shorter ones at its place."""
+    low = F.replace(F.replace(folded(text), F.lit("\u0001"), F.lit(" ")), F.lit("\u0002"), F.lit(" "))
+    parts = F.split(F.regexp_replace(low, f"({pattern})", "\u0001$1\u0002"), "\u0002", -1)
+
+    def phrases(p: Column) -> Column:
+        pairs = F.arrays_zip(F.transform(p, lambda x: F.struct(
+            F.right(F.substring_index(x, "\u0001", 1), F.lit(1)).alias("before"), F.substring_index(x, "\u0001", -1).alias("phrase"),
+            F.substring(x, 1, 2).alias("head"))).alias("x"), F.transform(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda x: F.substring(x, 1, 2)).alias("after"))
+        # A neighbouring match touches this one: its letters are no boundary.
+        good = lambda y, i: (
+            y["after"].isNotNull() & ~y["x"]["before"].rlike(_WORD_EDGE) & ~y["after"].rlike(f"^\u0001?{_WORD_EDGE}") & ((i == 0) | ~y["x"]["head"].startswith("\u0001")))
+        return F.transform(F.filter(pairs, good), lambda y: F.struct(y["x"]["phrase"].alias("phrase")))
+
+    # Bound to a lambda's argument, so that the text is scanned once.
+    return F.element_at(F.transform(F.array(parts), phrases), 1)
 
 
 def cue_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", cues: list[tuple[str, str, str]] = CUES) -> DataFrame:

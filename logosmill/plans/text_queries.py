@@ -189,7 +189,7 @@ def _cue_sql(cues, group):
     return f"""WITH lex(category, phrase, label) AS (VALUES {lexicon}),
 parts AS (SELECT doc_id, lang, regexp_split_to_array({low}, '{pattern}') AS p, regexp_extract_all({low}, '{pattern}') AS m FROM documents),
 hits AS (SELECT doc_id, lang, m[i] AS phrase FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM parts)
-  WHERE NOT regexp_matches(p[i], '[\\p{{L}}\\p{{N}}_]$') AND NOT regexp_matches(p[i + 1], '^[\\p{{L}}\\p{{N}}_]'))
+  WHERE (i = 1 OR p[i] <> '') AND (i = len(m) OR p[i + 1] <> '') AND NOT regexp_matches(p[i], '[\\p{{L}}\\p{{N}}_]$') AND NOT regexp_matches(p[i + 1], '^[\\p{{L}}\\p{{N}}_]'))
 SELECT {group}, count(*) AS n FROM hits JOIN lex USING (phrase) GROUP BY ALL"""
 
 
