@@ -20,7 +20,7 @@ def greedy_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
         F.sort_array(F.collect_list(item)), F.struct(F.lit(-1).cast("bigint").alias("end"), F.array().cast(f"array<{spans.select(F.struct(*rest).alias('r')).schema['r'].dataType.simpleString()}>").alias("kept")),
         lambda acc, x: F.when(x["a"] >= acc["end"], F.struct((-x["b"]).cast("bigint").alias("end"), F.concat(acc["kept"], F.array(x["r"])).alias("kept"))).otherwise(acc),
         lambda acc: acc["kept"])
-    return spans.groupBy(*keys).agg(folded_.alias("k")).select(*keys, F.explode("k").alias("r")).select(*keys, "r.*")
+    return spans.groupBy(*keys).agg(folded_.alias("_kept")).select(*keys, F.explode("_kept").alias("_r")).select(*keys, "_r.*")
 
 
 def _positions(documents: DataFrame, key: str) -> DataFrame:

@@ -90,11 +90,12 @@ def occurrences(documents: DataFrame, pattern: str, key: str = "doc_id", text: s
 def overlapping_occurrences(text: Column, needle: str) -> Column:
     """0-based starts of all occurrences of ``needle``, overlapping ones included."""
     parts = F.split(text, f"(?={re.escape(needle)})", -1)
-    # A part begins at each occurrence; the first part may come before the first one.
+    # A part begins at each occurrence; only the first may begin without one.
     lengths = F.transform(parts, F.length)
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     zipped = F.arrays_zip(parts.alias("part"), ends.alias("at"))
-    return F.transform(F.filter(zipped, lambda x: F.coalesce(x["part"].startswith(needle), F.lit(False))), lambda x: x["at"])
+    found = F.filter(zipped, lambda x, i: x["part"].isNotNull() & ((i > 0) | text.startswith(needle)))
+    return F.transform(found, lambda x: x["at"])
 
 
 def simple_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
