@@ -15,7 +15,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OCCURRENCES = (
@@ -140,13 +140,19 @@ def occurrences(records: DataFrame, content: bool = True) -> DataFrame:
 
 
 def links_by_containment(occ: DataFrame) -> DataFrame:
-    """Distinct (record_id, parent_ref, child_ref, stated_by) from the interval labels."""
+    """Distinct (record_id, parent_ref, child_ref, stated_by) from the interval labels.
+
+    In pre-order, the interval one level up that contains an occurrence is the last one
+    that began before it, so a running window finds it in linear time.
+    """
+    key = ["record_id", "version", "level"]
     up = occ.where("is_primary").select(
-        "record_id", "version", (F.col("level") + 1).alias("level"), F.col("pre").alias("u_pre"), F.col("post").alias("u_post"),
-        F.col("self_ref").alias("parent_ref"))
-    down = occ.where("level > 0").select("record_id", "version", "level", "pre", "post", F.col("self_ref").alias("child_ref"), "stated_by")
-    return down.join(up, ["record_id", "version", "level"]).where("u_pre < pre and post < u_post").groupBy(
-        "record_id", "parent_ref", "child_ref").agg(F.max("stated_by").alias("stated_by"))
+        "record_id", "version", (F.col("level") + 1).alias("level"), "pre", F.struct("self_ref", "post").alias("up"),
+        F.lit(None).cast("string").alias("child_ref"), F.lit(None).cast("int").alias("post"), F.lit(None).cast("string").alias("stated_by"))
+    down = occ.where("level > 0").select(*key, "pre", F.lit(None).cast("struct<self_ref:string,post:int>").alias("up"), F.col("self_ref").alias("child_ref"), "post", "stated_by")
+    last = F.last("up", ignorenulls=True).over(Window.partitionBy(*key).orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = up.unionByName(down).withColumn("in", last).where("child_ref is not null and in.post > post")
+    return found.groupBy("record_id", F.col("in.self_ref").alias("parent_ref"), "child_ref").agg(F.max("stated_by").alias("stated_by"))
 
 
 def element_tables(occ: DataFrame) -> dict[str, DataFrame]:
