@@ -28,7 +28,7 @@ def _number(x: float) -> str:
         return sign + digits
     e = int(power)
     whole, _, rest = digits.partition(".")
-    if -7 <= e < 0:
+    if -6 <= e < 0:
         return sign + "0." + "0" * (-e - 1) + whole + rest
     return f"{sign}{digits}e{'+' if e > 0 else '-'}{abs(e)}"
 
