@@ -42,3 +42,17 @@ CUES = [
 ]
 # Speakers that are named as unknown.
 UNATTRIBUTED = ("unattributed", "unknown", "unidentified", "?")
+# Markers that open a clause, by language and relation.
+OPENING_MARKERS = [
+    (language, cue, relation)
+    for language, group in {
+        "en": {"contrast": "however|nevertheless|in contrast|on the other hand|yet|but", "concession": "although|even though|even if|despite|in spite of", "result": "as a result|therefore|thus|hence", "cause": "because|due to", "condition": "if|unless|provided that", "evidence": "for example|for instance"},
+        "de": {"contrast": "jedoch|aber|dagegen", "concession": "obwohl|trotz", "result": "daher|deshalb|folglich", "cause": "weil|da", "condition": "wenn|falls", "evidence": "zum beispiel"},
+        "fr": {"contrast": "cependant|mais|toutefois", "concession": "bien que|malgré", "result": "donc|par conséquent", "cause": "parce que|car", "condition": "si", "evidence": "par exemple"},
+        "es": {"contrast": "sin embargo|pero|no obstante", "concession": "aunque|a pesar de", "result": "por lo tanto|por eso", "cause": "porque|ya que", "condition": "si", "evidence": "por ejemplo"},
+        "ru": {"contrast": "однако|но", "concession": "хотя|несмотря на", "result": "поэтому|следовательно", "cause": "потому что|так как", "condition": "если", "evidence": "например"},
+        "zh": {"contrast": "但是|然而", "concession": "虽然|尽管", "result": "因此|所以", "cause": "因为|由于", "condition": "如果", "evidence": "例如"},
+    }.items()
+    for relation, cues in group.items()
+    for cue in cues.split("|")
+]

@@ -143,3 +143,26 @@ def planned(segments: DataFrame, keys: list[str], capacity: int, ranks: bool = T
         return out
 
     return segments.select(*keys, "ord", "demand", "rank").groupBy(*keys).applyInPandas(plan, schema)
+
+
+def shards(units: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
+    """Adds ``shard`` and ``offset`` to units (keys, ord, start_pos, stop_pos, section).
+
+    A new shard begins where the span would exceed ``max_chars``, or where the section
+    changes and the span has come to half of it.  One document's units are folded in
+    order, as a shard's begin depends on the one before.
+    """
+    item = F.struct("ord", "start_pos", "stop_pos", "section")
+    state = "struct<shard:int,begin:bigint,section:string,out:array<struct<ord:bigint,shard:int,offset:bigint>>>"
+    none = F.lit(None)
+    zero = F.struct(F.lit(-1).alias("shard"), none.cast("bigint").alias("begin"), none.cast("string").alias("section"), F.array().alias("out")).cast(state)
+
+    def step(acc: Column, x: Column) -> Column:
+        span = x["stop_pos"] - acc["begin"]
+        fresh = acc["begin"].isNull() | (span > max_chars) | (~x["section"].eqNullSafe(acc["section"]) & (span >= max_chars // 2))
+        shard, begin = acc["shard"] + fresh.cast("int"), F.when(fresh, x["start_pos"]).otherwise(acc["begin"])
+        row = F.struct(x["ord"].cast("bigint").alias("ord"), shard.alias("shard"), begin.cast("bigint").alias("offset"))
+        return F.struct(shard.alias("shard"), begin.cast("bigint").alias("begin"), x["section"].cast("string").alias("section"), F.concat(acc["out"], F.array(row)).alias("out")).cast(state)
+
+    placed = units.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(item)), zero, step, lambda a: a["out"]).alias("_x"))
+    return units.join(placed.select(*keys, F.explode("_x").alias("_x")).select(*keys, F.col("_x.ord").alias("ord"), F.col("_x.shard").alias("shard"), F.col("_x.offset").alias("offset")), [*keys, "ord"])

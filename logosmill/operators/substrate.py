@@ -8,6 +8,7 @@ only short strings and integers are shuffled.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(F.array(parts), phrases), 1)
 
 
-def cue_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", cues: list[tuple[str, str, str]] = CUES) -> DataFrame:
-    """(key, category, label, phrase) of every cue occurrence."""
+def cue_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", cues: list[tuple[str, str, str]] = CUES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, category, label, phrase) of every cue occurrence."""
     pattern = cue_pattern([p for _, p, _ in cues])
     spark = documents.sparkSession
     lexicon = spark.createDataFrame(cues, "category string, phrase string, label string")
-    found = documents.select(key, F.explode(_hits(F.col(text), pattern)).alias("h")).select(key, F.col("h.phrase").alias("phrase"))
-    return found.join(F.broadcast(lexicon), "phrase").select(key, "category", "label", "phrase")  # the lexicon is a literal list
+    found = documents.select(key, *keep, F.explode(_hits(F.col(text), pattern)).alias("h")).select(key, *keep, F.col("h.phrase").alias("phrase"))
+    return found.join(F.broadcast(lexicon), "phrase").select(key, *keep, "category", "label", "phrase")  # the lexicon is a literal list
 
 
 def occurrences(documents: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,6 +172,29 @@ def marked_turn(text: Column) -> Column:
     return text.rlike(r"^\s*(?:SPEAKER[_ -]?[0-9]+|[A-Z][A-Z0-9 _-]{1,40}):\s+") | text.rlike(r"^\s*\*\*[^:\n]+?:\*\*\s+") | text.rlike(r"^\s*[^:\n]{1,60} \(participant [\w.-]+\):\s+")
 
 
+def opening_cues(documents: DataFrame, rules: list[tuple[str, str, str]], key: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(key, language, cue, relation, start_pos) of markers that open a clause: at the start of the text or after punctuation.
+
+    ``rules``: (language, cue, relation).  The longest cue at a place counts.  With ``lang``,
+    a document is scanned with its own language's rules only, by the first two letters.
+    """
+    spark = documents.sparkSession
+    by: dict[str, list[str]] = {}
+    for language, cue, _ in rules:
+        by.setdefault(language, []).append(cue)
+    parts = []
+    for language, cues in by.items():
+        cjk = any("\u4e00" <= c <= "\u9fff" for cue in cues for c in cue)
+        end = "" if cjk else r"(?![\p{L}\p{N}_])"
+        opener = r"(?<=(?:^|[;,.!?，。；、])\s{0,40})"
+        own = documents if lang is None else documents.where(F.lower(F.substring(lang, 1, 2)) == language)
+        low = own.select(key, folded(F.col(text)).alias("_low"))
+        found = occurrences(low, f"{opener}(?:{cue_pattern([c.lower() for c in cues])}){end}", key, "_low")
+        parts.append(found.select(key, F.lit(language).alias("language"), F.col("found").alias("cue"), "start_pos"))
+    table = spark.createDataFrame([(a, b.lower(), c) for a, b, c in rules], "language string, cue string, relation string")
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(table), ["language", "cue"]).select(key, "language", "cue", "relation", "start_pos")
+
+
 def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section_no, start_pos, stop_pos) of blocks between blank lines, trimmed."""
     parts = F.split(F.regexp_replace(F.col(text), r"(\n\s*\n)", "$1\u0001"), "\u0001")

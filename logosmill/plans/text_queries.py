@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logosmill.functions.lexicons import CUES
+from logosmill.functions.lexicons import CUES, OPENING_MARKERS
 from logosmill.operators import preparation as P
 from logosmill.operators import substrate as S
 from logosmill.session import broadcast_if_small, table
@@ -176,10 +176,22 @@ def capacity_plan(spark, d):
     return P.planned(rows, ["project", "user_name", "doc"], 400).groupBy("project", "user_name", "doc").agg((F.max("unit") + 1).cast("bigint").alias("units"), F.count("*").alias("segments"))
 
 
+def opening_markers(spark, d):
+    """Clause-opening markers of each document's language."""
+    out = S.opening_cues(table(spark, d, "documents"), OPENING_MARKERS, lang="lang")
+    return out.groupBy("doc_id", "language", "cue", "relation").agg(F.count("*").alias("n"))
+
+
+def section_shards(spark, d):
+    """Blocks of documents in shards of 1,000 characters; every other block opens a section."""
+    s = S.sections(table(spark, d, "documents")).select("doc_id", F.col("section_no").cast("bigint").alias("ord"), "start_pos", "stop_pos", F.floor(F.col("section_no") / 2).cast("string").alias("section"))
+    return P.shards(s, ["doc_id"], 1000).select("doc_id", F.col("ord").alias("section_no"), "shard", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     cue_signals, cue_documents, year_mentions, sentence_spans, token_counts, overlapping_matches, quote_resolution, span_validation, boundary_overlaps,
     containing_boundary, section_spans, speakers, normalised_lines, assembled_ranges, segment_dispositions, admitted_items, requirement_views,
-    front_and_back_matter, inventory_checks, coverage, item_steps, table_lines, capacity_plan)}
+    front_and_back_matter, inventory_checks, coverage, item_steps, table_lines, capacity_plan, opening_markers, section_shards)}
 
 
 def _cue_sql(cues, group):
@@ -264,4 +276,12 @@ SELECT source_id, items, coalesce(covered, 0) AS covered, CAST(coalesce(characte
 SELECT source_id, item_id, concat(k, '[', row_number() OVER (PARTITION BY source_id, p, k ORDER BY l, item_id), ']') AS step FROM i""",
     "table_lines": """WITH l AS (SELECT l_orderkey AS t, l_linenumber AS r, min(l_returnflag) AS f, min(l_linestatus) AS s FROM lineitem GROUP BY 1, 2)
 SELECT t AS table_id, concat('[row=', r, ', column=0, row_span=1, column_span=1] flag: ', f) AS line FROM l UNION ALL SELECT t, concat('[row=', r, ', column=1, row_span=1, column_span=1] status: ', s) FROM l""",
+    "section_shards": r"""WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(text, '(\n\s*\n)', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+e AS (SELECT doc_id, i, s[i] AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM p)),
+o AS (SELECT doc_id, i, x, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, length(regexp_extract(x, '^\s*')) AS lead, length(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS core FROM e),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, CAST(b + lead AS BIGINT) AS a, CAST(b + lead + core AS BIGINT) AS z FROM o WHERE core > 0),
+r AS (SELECT doc_id, n, a AS begin_at, 0 AS shard FROM u WHERE n = 1 UNION ALL
+SELECT u.doc_id, u.n, CASE WHEN u.z - r.begin_at > 1000 OR (u.n // 2 <> r.n // 2 AND u.z - r.begin_at >= 500) THEN u.a ELSE r.begin_at END, r.shard + CASE WHEN u.z - r.begin_at > 1000 OR (u.n // 2 <> r.n // 2 AND u.z - r.begin_at >= 500) THEN 1 ELSE 0 END
+FROM r JOIN u ON u.doc_id = r.doc_id AND u.n = r.n + 1)
+SELECT doc_id, n AS section_no, shard, begin_at AS "offset" FROM r""",
 }

@@ -15,9 +15,8 @@ from logosmill.operators.substrate import cue_scan
 
 def cue_counts(documents: DataFrame, at: str = "published_at", delay: str = "7 days", window: str = "1 day", cues=CUES) -> DataFrame:
     """Cues per time window and label; documents later than ``delay`` are dropped by the watermark."""
-    marked = documents.withWatermark(at, delay)
-    found = cue_scan(marked.select(F.struct("doc_id", at).alias("doc"), "text"), key="doc", cues=cues)
-    return found.groupBy(F.window(F.col(f"doc.{at}"), window).alias("w"), "label").agg(F.count("*").alias("n")).select("w.start", "w.end", "label", "n")
+    found = cue_scan(documents.withWatermark(at, delay), cues=cues, keep=(at,))
+    return found.groupBy(F.window(at, window).alias("w"), "label").agg(F.count("*").alias("n")).select("w.start", "w.end", "label", "n")
 
 
 def commitments(acts: DataFrame) -> DataFrame:
