@@ -139,14 +139,17 @@ def split_text(text: str, unit: str, limit: int, overlap: int, preference: list[
         strength[inside] = 0
     least = math.ceil((total - overlap) / (limit - overlap))
     natural = bool((strength[1:n] >= RANK["word"]).any())
-    fallback = None
+    fallback, fewest = None, n
     for k in range(least, 2 * least + 4):
         cuts = _attempt(cost, strength, k, limit, overlap, unit == "whitespace_tokens")
         if cuts is None:
             continue
-        fallback = fallback or cuts
-        if not natural or all(strength[b] >= RANK["word"] for _, b in cuts[:-1]):
+        hard = sum(int(strength[b]) < RANK["word"] for _, b in cuts[:-1])
+        if not natural or not hard:
             return [(a, b, int(strength[b])) for a, b in cuts]
+        # Some word is longer than a piece: the fewest pieces with the fewest cut words.
+        if hard < fewest:
+            fallback, fewest = cuts, hard
     if fallback is None:  # granularity left no room: cut greedily
         fallback, start = [], 0
         while True:
