@@ -101,9 +101,9 @@ def _attempt(cost: np.ndarray, strength: np.ndarray, k: int, limit: int, overlap
         out.append((start, at))
         stop = at
         # The overlap counts back in the same unit and never exceeds the size asked for.
-        start = int(np.searchsorted(cost, cost[at] - overlap, side="left"))
-        if whole_runs and overlap:
-            start = int(np.searchsorted(cost, cost[at] - overlap, side="right")) - 1
+        start = at
+        if overlap:  # a run counts at its first character, so a piece begins right before one
+            start = int(np.searchsorted(cost, cost[at] - overlap, side="right")) - 1 if whole_runs else int(np.searchsorted(cost, cost[at] - overlap, side="left"))
         start = min(max(start, out[-1][0] + 1), at)
     if cost[n] - cost[start] > limit:
         return None
@@ -158,7 +158,7 @@ def split_text(text: str, unit: str, limit: int, overlap: int, preference: list[
             fallback.append((start, stop))
             if stop == n:
                 break
-            back = int(np.searchsorted(cost, cost[stop] - overlap, side="left"))
+            back = int(np.searchsorted(cost, cost[stop] - overlap, side="left")) if overlap else stop
             start = back if start < back < stop else stop
     return [(a, b, int(strength[b])) for a, b in fallback]
 
