@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logosmill.operators import linking as L
 from logosmill.operators import trees as T
 from logosmill.plans.scoring_queries import brackets
 from logosmill.plans.structure_queries import _DOWN, _LINKS
 from logosmill.session import table
+from logosmill.sources import readers as R
 
 
 def _nodes(spark, d):
@@ -56,6 +58,20 @@ def rs3_files(spark, d):
     return T.rs3(_nodes(spark, d))
 
 
+def rs3_reading(spark, d):
+    """Files written and read again."""
+    files = T.rs3(_nodes(spark, d)).select(F.col("tree_id").alias("doc"), F.col("rs3").alias("content"))
+    return R.rs3(files).select("doc", "id", "kind", "parent", F.nullif("relname", F.lit("")).alias("relname"), "contents")
+
+
+def enclosing_nodes(spark, d):
+    """The narrowest node that covers each elementary unit and its right neighbour, by stated edges."""
+    n = _nodes(spark, d).where("left_edge is not null and right_edge is not null")
+    cues = n.where("kind = 'edu'").select("tree_id", F.col("id").alias("cue_id"), F.col("left_edge").alias("start_pos"), (F.col("left_edge") + 1).alias("stop_pos"))
+    inner = n.where("kind <> 'edu'").select("tree_id", F.col("id").alias("node_id"), F.col("left_edge").alias("first"), F.col("right_edge").alias("last"))
+    return L.enclosing(cues, inner, "tree_id").select("tree_id", "cue_id", "node_id")
+
+
 def tree_violations(spark, d):
     return T.violations(_nodes(spark, d))
 
@@ -79,7 +95,7 @@ def bracket_reading(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    tree_spans, tree_statistics, statistics_summary, relation_families, central_units, spine_texts, rdf_triples, turtle_lines, retrieval_chunks, rs3_files,
+    tree_spans, tree_statistics, statistics_summary, relation_families, central_units, spine_texts, rdf_triples, turtle_lines, retrieval_chunks, rs3_files, rs3_reading, enclosing_nodes,
     tree_violations, table_decoding, bracket_reading)}
 
 _N = """n AS (SELECT concat(project, '/', user_name, '/', doc) AS tree_id, id, min(CASE WHEN trim(parent) IN ('', '0') THEN NULL ELSE parent END) AS parent, min(kind) AS kind,
@@ -133,4 +149,9 @@ SELECT DISTINCT tree_id, 'unreachable' FROM t JOIN x USING (tree_id) WHERE NOT (
 SELECT DISTINCT tree_id, 'missing_part' FROM p WHERE start < stop AND (tree_id, start, stop) NOT IN (SELECT tree_id, start, stop FROM t)""",
     "bracket_reading": f"""WITH RECURSIVE {_MID} SELECT tree_id, start, split, stop, 'span' AS left_rel, 'Elaboration' AS right_rel,
 (tree_id, start, split) IN (SELECT tree_id, start, stop FROM t) AS left_inner, (tree_id, split + 1, stop) IN (SELECT tree_id, start, stop FROM t) AS right_inner FROM t""",
+    "rs3_reading": rf"""WITH {_N} SELECT tree_id AS doc, id, kind, parent, CASE WHEN parent IS NOT NULL THEN nullif(relname, '') END AS relname,
+CASE WHEN kind = 'edu' THEN trim(regexp_replace(coalesce(contents, ''), '\s+', ' ', 'g')) END AS contents FROM n""",
+    "enclosing_nodes": f"""WITH {_N}, c AS (SELECT tree_id, id, left_edge AS s FROM n WHERE kind = 'edu' AND left_edge IS NOT NULL AND right_edge IS NOT NULL),
+i AS (SELECT tree_id, id, left_edge AS f, right_edge AS l FROM n WHERE kind <> 'edu' AND left_edge IS NOT NULL AND right_edge IS NOT NULL)
+SELECT c.tree_id, c.id AS cue_id, min(CASE WHEN i.id IS NOT NULL THEN ROW(i.l - i.f, i.id) END)[2] AS node_id FROM c LEFT JOIN i ON i.tree_id = c.tree_id AND i.f <= c.s AND c.s + 1 <= i.l GROUP BY 1, 2""",
 }
