@@ -39,7 +39,7 @@ def concept_coverage(spark, d):
 def rule_theories(spark, d):
     """A theory per order: its lines are premises, flags and statuses rules, with preferences by line."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f"))
-    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_set(line)), 1, 4).alias("ls"))
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(line)).alias("ls"))
     prem = F.transform("ls", lambda x: F.concat(F.lit('"p'), x["n"].cast("string"), F.lit('"')))
     rules = F.transform("ls", lambda x: F.concat(F.lit('["r'), x["n"].cast("string"), F.lit('",["p'), x["n"].cast("string"), F.lit('"],"'), F.when(x["f"] == "R", "~ok").otherwise("ok"), F.lit('"]')))
     pref = F.filter(F.transform("ls", lambda x: F.when(x["n"] > 1, F.concat(F.lit('["r1","r'), x["n"].cast("string"), F.lit('"]')))), lambda x: x.isNotNull())

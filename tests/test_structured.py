@@ -69,3 +69,16 @@ def test_argument_graph(spark):
     r = spark.createDataFrame([("g", "1", "inference", "a", "b"), ("g", "2", "inference", "b", "a"), ("g", "3", "conflict", "a", "z"), ("g", "4", "conflict", "a", "z")], "graph_id string, id string, relation_type string, source_id string, target_id string")
     got = {(x.rule, x.detail) for x in G.argument_graph_violations(n, r).collect()}
     assert got == {("repeated_id", "b"), ("unknown_endpoint", "z"), ("repeated_relation", "a"), ("inference_cycle", "a"), ("inference_cycle", "b")}
+
+
+def test_every_line_of_an_order_enters_its_theory(spark, tmp_path):
+    from logosmill.plans import linking_queries as Q
+
+    lines = [(1, n, "R" if n == 6 else "N") for n in range(1, 8)] + [(2, 1, "N")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    theories = {r.theory_id: json.loads(r.theory) for r in Q.rule_theories(spark, str(tmp_path)).collect()}
+    assert theories["1"]["premises"] == [f"p{n}" for n in range(1, 8)] and len(theories["1"]["defeasible_rules"]) == 7
+    assert theories["1"]["rule_preferences"] == [["r1", f"r{n}"] for n in range(2, 8)]
+    got = {r.theory_id: (r.arguments, r.attacks) for r in Q.structured_defeats(spark, str(tmp_path)).collect()}
+    # Line 6 concludes against the other six, and they against it.
+    assert got == {"1": (14, 12), "2": (2, 0)}
