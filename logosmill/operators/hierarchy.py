@@ -173,17 +173,23 @@ def cycle_nodes(contracted: DataFrame) -> DataFrame:
 def hierarchy(links: DataFrame) -> DataFrame:
     """Root, depth, path and number of descendants of every node.
 
-    Result: tree_table, tree_id, id, parent, status, root, depth, path, n_descendants.
-    status: 'root' (no parent given), 'orphan' (the parent does not exist; the node
-    counts as a root), 'node', 'cycle' (lies on a cycle), 'below_cycle' (leads into
-    one).  On and below cycles root, depth and path are null, as no root exists;
-    n_descendants of cycle nodes is null too.  An empty table gives an empty result.
+    Result: tree_table, tree_id, id, parent, status, root, depth, path, n_descendants,
+    cycle_path, ring.  status: 'root' (no parent given), 'orphan' (the parent does not
+    exist; the node counts as a root), 'node', 'cycle' (lies on a cycle), 'below_cycle'
+    (leads into one).  On and below cycles root, depth and path are null, as no root
+    exists; cycle_path leads from the cycle node they hang from to the node, and is null
+    elsewhere.  n_descendants of cycle nodes is null.  One node of each cycle has the
+    whole cycle in ring, every id before its child.  An empty table gives an empty result.
     """
     rec = cut(contract(links, paths=True))
-    ids = rec.select(*KEYS, F.col("id").alias("ptr"), F.lit(1).alias("known"), (F.col("state") == "core").alias("at_core"))
+    on_cycle = cut(cycle_nodes(rec))
+    at_cycle = F.col("at_cycle").isNotNull()
+    # A cycle node is spliced into its child on the cycle, so no segment below a cycle runs through one.
+    ids = rec.select(*KEYS, F.col("id").alias("ptr"), F.lit(1).alias("known")).join(
+        on_cycle.select(*KEYS, F.col("id").alias("ptr"), F.lit(1).alias("at_cycle")), [*KEYS, "ptr"], "left")
     away = rec.where("state <> 'core'").join(ids, [*KEYS, "ptr"], "left")
-    up = _double(away.select(*KEYS, "id", F.when(F.col("known").isNotNull() & ~F.col("at_core"), F.col("ptr")).alias("to"), "dist", "seg"))
-    ends = away.where(F.col("at_core")).select(*KEYS, F.col("id").alias("end"), F.lit(True).alias("into_cycle"))
+    up = _double(away.select(*KEYS, "id", F.when(F.col("known").isNotNull() & ~at_cycle, F.col("ptr")).alias("to"), "dist", "seg"))
+    ends = away.where(at_cycle).select(*KEYS, F.col("id").alias("end"), F.col("ptr").alias("anchor"))
     up = up.join(ends, [*KEYS, "end"], "left")
     # Descendants: raked nodes know their weight; a spliced one adds what its child has.
     sp = rec.where("state = 'spliced'")
@@ -196,10 +202,11 @@ def hierarchy(links: DataFrame) -> DataFrame:
         rec.where("state <> 'spliced'").select(*KEYS, F.col("id").alias("child"), F.col("weight").alias("below")), [*KEYS, "child"], "left")
     sizes = rec.where("state = 'raked'").select(*KEYS, "id", F.col("weight").alias("size")).unionByName(
         tail.select(*KEYS, "id", (F.col("dist") + F.coalesce("below", F.lit(0))).alias("size")))
-    on_cycle = cycle_nodes(rec).withColumn("on_cycle", F.lit(True))
-    out = links.join(up.select(*KEYS, "id", "seg", "into_cycle"), [*KEYS, "id"], "left").join(
-        sizes, [*KEYS, "id"], "left").join(on_cycle, [*KEYS, "id"], "left")
-    cyc, into = F.coalesce("on_cycle", F.lit(False)), F.coalesce("into_cycle", F.lit(False))
+    rings = rec.where("state = 'core'").select(*KEYS, "id", F.col("seg").alias("ring"))
+    marks = on_cycle.withColumn("on_cycle", F.lit(True)).join(rings, [*KEYS, "id"], "left")
+    out = links.join(up.select(*KEYS, "id", "seg", "anchor"), [*KEYS, "id"], "left").join(
+        sizes, [*KEYS, "id"], "left").join(marks, [*KEYS, "id"], "left")
+    cyc, into = F.coalesce("on_cycle", F.lit(False)), F.col("anchor").isNotNull()
     good = ~cyc & ~into
     return out.select(
         *KEYS, "id", "parent",
@@ -209,11 +216,30 @@ def hierarchy(links: DataFrame) -> DataFrame:
         F.when(good, F.size("seg") - 1).alias("depth"),
         F.when(good, F.col("seg")).alias("path"),
         F.when(~cyc, F.col("size") - 1).alias("n_descendants"),
+        F.when(cyc, F.array("id")).when(into, F.concat(F.array("anchor"), "seg")).alias("cycle_path"),
+        "ring",
     )
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """All (ancestor, descendant, distance) rows of a :func:`hierarchy` result."""
-    return tree.where(F.col("path").isNotNull()).select(
-        *KEYS, F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor")
-    ).where("at < depth").select(*KEYS, "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    """All (ancestor, descendant, distance, status) rows of a :func:`hierarchy` result.
+
+    status: 'tree' (both below a root or orphan), 'below_cycle' (the descendant leads into
+    a cycle; every node of that cycle is an ancestor), 'cycle' (both lie on one cycle).
+    The distance is the least number of links; a node is no descendant of itself.
+    """
+    def pairs(path: str, status: str) -> DataFrame:
+        return tree.where(F.size(path) > 1).select(
+            *KEYS, F.col("id").alias("descendant"), (F.size(path) - 1).alias("depth"), F.posexplode(path).alias("at", "ancestor")
+        ).where("at < depth").select(*KEYS, "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"), F.lit(status).alias("status"))
+
+    # The other nodes of a cycle stand above what hangs from one of them.
+    ring = tree.where("ring is not null").select(*KEYS, F.col("id").alias("core"), F.size("ring").alias("length"), F.posexplode("ring").alias("at", "node"))
+    a = ring.select(*KEYS, "core", F.col("node").alias("ancestor"), F.col("at").alias("from"))
+    b = ring.select(*KEYS, "core", F.col("node").alias("anchor"), F.col("at").alias("to"), "length")
+    around = a.join(b, [*KEYS, "core"]).where("ancestor <> anchor").select(
+        *KEYS, "ancestor", "anchor", F.pmod(F.col("to") - F.col("from"), "length").alias("steps"))
+    hanging = tree.where(F.col("cycle_path").isNotNull()).select(
+        *KEYS, F.col("id").alias("descendant"), F.element_at("cycle_path", 1).alias("anchor"), (F.size("cycle_path") - 1).alias("depth"), "status")
+    beyond = hanging.join(around, [*KEYS, "anchor"]).select(*KEYS, "ancestor", "descendant", (F.col("steps") + F.col("depth")).alias("distance"), "status")
+    return pairs("path", "tree").unionByName(pairs("cycle_path", "below_cycle")).unionByName(beyond)

@@ -47,17 +47,19 @@ def _links(nodes: DataFrame, keep: Column | None = None) -> DataFrame:
     return nodes.select(F.lit("nodes").alias("tree_table"), "tree_id", "id", parent.alias("parent"))
 
 
-def spans(nodes: DataFrame) -> DataFrame:
+def spans(nodes: DataFrame, cycles: bool = False) -> DataFrame:
     """(tree_id, id, depth, first_edu, last_edu): what each node covers, by its descendants.
 
-    Nodes on or below cycles have no depth and cover only themselves.
+    Nodes on or below cycles have no depth; they cover only themselves, or what they
+    reach, round the cycle too, with ``cycles``.
     """
     tree = cut(H.hierarchy(_links(nodes)))
     edus = nodes.where("kind = 'edu'").select("tree_id", "id", "left_edge")
-    below = H.descendants(tree).select("tree_id", "ancestor", F.col("descendant").alias("id")).join(edus, ["tree_id", "id"])
+    pairs = H.descendants(tree)
+    below = (pairs if cycles else pairs.where("status = 'tree'")).select("tree_id", "ancestor", F.col("descendant").alias("id")).join(edus, ["tree_id", "id"])
     cover = below.select("tree_id", F.col("ancestor").alias("id"), "left_edge").unionByName(edus).groupBy("tree_id", "id").agg(
         F.min("left_edge").alias("first_edu"), F.max("left_edge").alias("last_edu"))
-    return tree.select("tree_id", "id", "depth").join(cover, ["tree_id", "id"], "left")
+    return tree.select("tree_id", "id", "depth", "status").join(cover, ["tree_id", "id"], "left")
 
 
 def statistics(nodes: DataFrame) -> DataFrame:

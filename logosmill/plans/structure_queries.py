@@ -28,13 +28,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchy(tree_links(spark, sf_dir)).select(
         "tree_table", "tree_id", F.col("id").alias("node_id"), "status", "root", F.col("depth").cast("bigint").alias("depth"),
-        F.array_join("path", " > ").alias("path"), F.col("n_descendants").cast("bigint").alias("n_descendants"))
+        F.array_join("path", " > ").alias("path"), F.col("n_descendants").cast("bigint").alias("n_descendants"),
+        F.array_join("cycle_path", " > ").alias("cycle_path"))
+
+
+def _descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = cut(hierarchy.hierarchy(tree_links(spark, sf_dir)))
+    return hierarchy.descendants(tree).withColumn("distance", F.col("distance").cast("bigint"))
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of each node, one row per pair."""
-    return hierarchy.descendants(hierarchy.hierarchy(tree_links(spark, sf_dir))).select(
-        "tree_table", "tree_id", "ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
+    """Descendants of each node under a root or orphan, one row per pair; :func:`p4_cycle_descendants` has the others."""
+    return _descendants(spark, sf_dir).where("status = 'tree'").select("tree_table", "tree_id", "ancestor", "descendant", "distance")
+
+
+def p4_cycle_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of each node on or below a cycle, one row per pair; with p4_descendants these are all pairs."""
+    return _descendants(spark, sf_dir).where("status <> 'tree'").select("tree_table", "tree_id", "ancestor", "descendant", "distance", "status")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +57,7 @@ def p5_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occ.where("is_primary").select("record_id", "self_ref", "collection", "label", "content_layer", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_elements": p5_elements}
+QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p4_cycle_descendants": p4_cycle_descendants, "p5_found": p5_found, "p5_elements": p5_elements}
 
 _LINKS = """
 links AS (
@@ -98,6 +108,10 @@ el AS (SELECT record_id, collection, e, e->>'$.self_ref' AS self_ref FROM elemen
 ORACLES = {
     "p4_found": f"WITH RECURSIVE {_LINKS}, {_UP} SELECT tree_table, tree_id, id AS node_id FROM cyc",
     "p4_descendants": f"WITH RECURSIVE {_LINKS}, {_DOWN}, {_PAIRS} SELECT tree_table, tree_id, ancestor, descendant, CAST(depth - lvl AS BIGINT) AS distance FROM pairs WHERE lvl < depth",
+    "p4_cycle_descendants": f"""WITH RECURSIVE {_LINKS}, {_UP}, shut AS (SELECT DISTINCT tree_table, tree_id, id FROM up WHERE list_contains(seen, cur))
+SELECT u.tree_table, u.tree_id, u.cur AS ancestor, u.id AS descendant, CAST(len(u.seen) AS BIGINT) AS distance, CASE WHEN c.id IS NULL THEN 'below_cycle' ELSE 'cycle' END AS status
+FROM up u JOIN shut s ON s.tree_table = u.tree_table AND s.tree_id = u.tree_id AND s.id = u.id LEFT JOIN cyc c ON c.tree_table = u.tree_table AND c.tree_id = u.tree_id AND c.id = u.id
+WHERE NOT list_contains(u.seen, u.cur)""",
     "p5_found": f"""WITH {_ELEMENTS},
 stated AS (
   SELECT record_id, coalesce(e->'$.parent'->>'$."$ref"', e->'$.parent'->>'$.cref') AS parent_ref, self_ref AS child_ref FROM el

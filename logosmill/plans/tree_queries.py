@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logosmill.operators import linking as L
 from logosmill.operators import trees as T
 from logosmill.plans.scoring_queries import brackets
-from logosmill.plans.structure_queries import _DOWN, _LINKS
+from logosmill.plans.structure_queries import _DOWN, _LINKS, _UP
 from logosmill.session import table
 from logosmill.sources import readers as R
 
@@ -20,6 +20,11 @@ def tree_spans(spark, d):
     return T.spans(_nodes(spark, d)).select("tree_id", "id", F.col("depth").cast("bigint").alias("depth"), "first_edu", "last_edu")
 
 
+def cycle_spans(spark, d):
+    """What nodes on or below cycles cover, which tree_spans leaves at themselves."""
+    return T.spans(_nodes(spark, d), cycles=True).where("status in ('cycle', 'below_cycle')").select("tree_id", "id", "status", "first_edu", "last_edu")
+
+
 def tree_statistics(spark, d):
     return T.statistics(_nodes(spark, d)).withColumn("nucleus_ratio", F.round("nucleus_ratio", 6))
 
@@ -95,7 +100,7 @@ def bracket_reading(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    tree_spans, tree_statistics, statistics_summary, relation_families, central_units, spine_texts, rdf_triples, turtle_lines, retrieval_chunks, rs3_files, rs3_reading, enclosing_nodes,
+    tree_spans, cycle_spans, tree_statistics, statistics_summary, relation_families, central_units, spine_texts, rdf_triples, turtle_lines, retrieval_chunks, rs3_files, rs3_reading, enclosing_nodes,
     tree_violations, table_decoding, bracket_reading)}
 
 _N = """n AS (SELECT concat(project, '/', user_name, '/', doc) AS tree_id, id, min(CASE WHEN trim(parent) IN ('', '0') THEN NULL ELSE parent END) AS parent, min(kind) AS kind,
@@ -118,6 +123,10 @@ ORACLES = {
     "tree_spans": f"""WITH RECURSIVE {_LINKS}, {_DOWN}, {_N}, c AS (SELECT d.tree_id, unnest(d.path) AS id, n.left_edge AS e FROM down d JOIN n ON n.tree_id = d.tree_id AND n.id = d.id WHERE d.tree_table = 'rst_nodes' AND n.kind = 'edu'
 UNION ALL SELECT tree_id, id, left_edge FROM n WHERE kind = 'edu'), m AS (SELECT tree_id, id, min(e) AS first_edu, max(e) AS last_edu FROM c GROUP BY 1, 2)
 SELECT n.tree_id, n.id, d.depth, first_edu, last_edu FROM n LEFT JOIN down d ON d.tree_table = 'rst_nodes' AND d.tree_id = n.tree_id AND d.id = n.id LEFT JOIN m ON m.tree_id = n.tree_id AND m.id = n.id""",
+    "cycle_spans": f"""WITH RECURSIVE {_LINKS}, {_UP}, {_N}, shut AS (SELECT DISTINCT tree_id, id FROM up WHERE tree_table = 'rst_nodes' AND list_contains(seen, cur)), y AS (SELECT tree_id, id FROM cyc WHERE tree_table = 'rst_nodes'),
+c AS (SELECT u.tree_id, u.cur AS id, n.left_edge AS e FROM up u JOIN n ON n.tree_id = u.tree_id AND n.id = u.id WHERE u.tree_table = 'rst_nodes' AND n.kind = 'edu' UNION ALL SELECT tree_id, id, left_edge FROM n WHERE kind = 'edu'),
+m AS (SELECT tree_id, id, min(e) AS first_edu, max(e) AS last_edu FROM c GROUP BY 1, 2)
+SELECT s.tree_id, s.id, CASE WHEN y.id IS NULL THEN 'below_cycle' ELSE 'cycle' END AS status, first_edu, last_edu FROM shut s LEFT JOIN y ON y.tree_id = s.tree_id AND y.id = s.id LEFT JOIN m ON m.tree_id = s.tree_id AND m.id = s.id""",
     "tree_statistics": f"WITH {_STATS} SELECT * REPLACE (round(nucleus_ratio, 6) AS nucleus_ratio) FROM z",
     "statistics_summary": f"WITH {_STATS} SELECT round(avg(edus), 6) AS mean_edus, median(edus) AS median_edus, min(edus) AS min_edus, round(avg(thin_share), 6) AS mean_thin_share FROM z",
     "relation_families": f"WITH {_N}, r AS (SELECT relname, trim(replace(lower(relname), '_', '-')) AS raw FROM n WHERE parent IS NOT NULL AND relname IS NOT NULL) SELECT relname, {_FAM} AS family, count(*) AS n FROM r GROUP BY ALL",

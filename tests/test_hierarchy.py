@@ -80,3 +80,23 @@ def test_descendants(spark):
     links = spark.createDataFrame([("t", "a", "r", None), ("t", "a", "b", "r"), ("t", "a", "c", "b")], SCHEMA)
     got = {(r.ancestor, r.descendant, r.distance) for r in H.descendants(H.hierarchy(links)).collect()}
     assert got == {("r", "b", 1), ("r", "c", 2), ("b", "c", 1)}
+
+
+def test_descendants_on_and_below_cycles(spark):
+    rows = [("t", "a", "x", "z"), ("t", "a", "y", "x"), ("t", "a", "z", "y"), ("t", "a", "w", "x"), ("t", "a", "v", "w"), ("t", "a", "u", "w"), ("t", "b", "s", "s"), ("t", "b", "q", "s"), ("t", "c", "r", None), ("t", "c", "k", "r")]
+    rng = random.Random(3)
+    rows += [("t", str(t), str(i), str(rng.randint(0, 24))) for t in range(6) for i in range(25)]
+    parent, want = {r[:3]: r[3] for r in rows}, {}
+    for k in parent:
+        seen, at = [k], (*k[:2], parent[k])
+        while at in parent and at not in seen:
+            seen.append(at)
+            want[(*k[:2], at[2], k[2])] = len(seen) - 1
+            at = (*k[:2], parent[at])
+    tree = H.hierarchy(spark.createDataFrame(rows, SCHEMA)).cache()
+    pairs = H.descendants(tree).collect()
+    assert {(r.tree_table, r.tree_id, r.ancestor, r.descendant): r.distance for r in pairs} == want and len(pairs) == len(want)
+    got = {(r.ancestor, r.descendant): r.status for r in pairs if r.tree_id in "abc"}
+    assert got[("w", "v")] == got[("x", "u")] == got[("z", "v")] == got[("s", "q")] == "below_cycle" and got[("y", "x")] == "cycle" and got[("r", "k")] == "tree"
+    paths = {r.id: r.cycle_path for r in tree.collect() if r.tree_id in "abc"}
+    assert paths["v"] == ["x", "w", "v"] and paths["q"] == ["s", "q"] and paths["z"] == ["z"] and paths["k"] is None
