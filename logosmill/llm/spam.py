@@ -6,7 +6,7 @@ features leave no doubt.  Bagged decision trees are trained on a bounded sample
 those; every page then gets a score, smoothed by the spam rate of its host (column
 ``source``).  Pages with more than a low score are candidates, and a candidate counts as
 spam if more than half of its characters are in units of repeated keywords, links or
-product and tag lines.
+product and tag lines.  Repetition is judged without regard to the page's length.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ _PRICE = re.compile(r"\d+[.,]\d\d ?(?:EUR|USD|GBP|CHF|€|\$|£)|[€$£] ?\d|\b
 _REFERENCE = re.compile(r"^\s*\[\d+\] .*\b\d{4}\b")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
 _NO_CASE = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿؀-ۿऀ-෿ሀ-፿Ѐ-ӿͰ-Ͽ]")
+_HASHTAG = re.compile(r"(?<!\w)#\w+")
+_TAG_LABEL = re.compile(r"^\W*(?:tags?|keywords?|labels?|topics?|schlag(?:wörter|worte)|stichw(?:örter|orte)|mots[- ]cl[ée]s|étiquettes|etiquetas|palabras clave)\s*:", re.I)
+_ITEMS = re.compile(r"\s*[,;|·•/]\s*")
 _END = re.compile(r"[.!?。！？…।][\"'”’»」)\]]*\s*$")
 
 
@@ -53,21 +56,63 @@ def _words(text: str) -> list[str]:
     return [w for w in _WORD.findall(text.lower())]
 
 
+def _size(text: str) -> int:
+    """Characters that are no white space."""
+    return len("".join(text.split()))
+
+
+def _tag_line(unit: str, rest: list[str], function: int) -> bool:
+    """Whether a unit that is no prose lists tags, which may all be different."""
+    if len(_HASHTAG.findall(unit)) >= max(3, 0.5 * len(unit.split())):
+        return True
+    label = _TAG_LABEL.match(unit)
+    items = [i for i in _ITEMS.split((unit[label.end():] if label else unit).strip(" .,;\r")) if i]
+    if len(items) < (3 if label else 8) or function > 0.1 * len(rest):
+        return False
+    # Without a label, lists of names and of statements are told apart by capitals and length.
+    return all(len(i.split()) <= 3 for i in items) and bool(label or unit.strip() == unit.strip().lower())
+
+
+def _repeated(counts: Counter) -> set[str]:
+    """Words repeated as in keyword lists, judged in one stretch of text.
+
+    Either a word is dense, or nearly all words come again: running text has about as
+    many words that come once as others whatever its length, a keyword list hardly any.
+    """
+    content = sum(counts.values())
+    dense = {w for w, n in counts.items() if n >= 4 and n >= 0.012 * content}
+    again = {w for w, n in counts.items() if n >= 2}
+    return dense | again if content >= 20 and len(again) >= 0.8 * len(counts) else dense
+
+
+def _sum(counters) -> Counter:
+    out: Counter = Counter()
+    for c in counters:
+        out.update(c)
+    return out
+
+
+def _repeated_overall(page: Counter, runs: list) -> set[str]:
+    content = sum(page.values())
+    dense = {w for w, n in page.items() if n >= 4 and n >= 0.012 * content}
+    return dense | _repeated(_sum(c for run in runs for _, c, _ in run))
+
+
 def page_features(text: str) -> tuple[float, ...]:
     """FEATURES of one page, over all of its text."""
-    total = sum(1 for c in text if not c.isspace())
+    total = _size(text)
     if not total:
         return (0.0,) * len(FEATURES)
     plain = _URL.sub(" ", text)
     counts = Counter(w for w in _words(plain) if w not in FUNCTION_WORDS)
     content = sum(counts.values())
-    often = {w for w, n in counts.items() if n >= 4 and n >= 0.012 * content}
     bad = link = repeat = listed = sentence = urls = units = functions = words_all = 0
+    runs: list[list[tuple[int, Counter, bool]]] = [[]]  # neighbouring units that are no prose: size, words, bad already
     for line in _UNIT.findall(text):
         tabular = line.count(" | ") >= 2 and _PRICE.search(line)
         parts = [line] if tabular or _ANCHOR.search(line) or _REFERENCE.match(line) else _SENTENCE.findall(line)
         for unit in parts:
-            size = sum(1 for c in unit if not c.isspace())
+            size = _size(unit)
             if not size:
                 continue
             units += 1
@@ -79,20 +124,30 @@ def page_features(text: str) -> tuple[float, ...]:
             function = [w for w in rest if w in FUNCTION_WORDS]
             functions += len(function)
             words_all += len(rest)
-            other = [w for w in rest if w not in FUNCTION_WORDS]
             share = len(function) / len(rest) if rest else 0.0
             prose = len(set(function)) >= 2 and share >= 0.15 or (share >= 0.25 and len(rest) >= 3)
             prose = prose or bool(_NO_CASE.search(bare) and _END.search(unit))
-            again = sum(1 for w in other if w in often) / len(other) if other else 0.0
             prose = prose or bool(_REFERENCE.match(unit))
             is_link = (found or anchors) and not prose
-            is_listed = bool(tabular) or (not prose and bool(_PRICE.search(unit)))
-            is_repeat = not prose and again >= 0.4 and bool(other)
+            is_listed = bool(tabular) or (not prose and (bool(_PRICE.search(unit)) or _tag_line(unit, rest, len(function))))
             link += size * bool(is_link)
             listed += size * is_listed
-            repeat += size * is_repeat
-            bad += size * bool(is_link or is_listed or is_repeat)
+            bad += size * bool(is_link or is_listed)
             sentence += size * bool(prose)
+            if not prose:
+                runs[-1].append((size, Counter(w for w in rest if w not in FUNCTION_WORDS), bool(is_link or is_listed)))
+            elif runs[-1]:
+                runs.append([])
+    # Words count as repeated by the page, by all of it that is no prose, by a run of units or by the unit itself.
+    overall = _repeated_overall(counts, runs)
+    for run in runs:
+        here = overall | _repeated(_sum(c for _, c, _ in run)) if len(run) > 1 else overall
+        for size, words, is_bad in run:
+            often = here | _repeated(words)
+            n = sum(words.values())
+            if n and sum(k for w, k in words.items() if w in often) >= 0.4 * n:
+                repeat += size
+                bad += size * (not is_bad)
     return (
         bad / total, link / total, repeat / total, listed / total, functions / max(words_all, 1), len(counts) / max(content, 1),
         sentence / total, total / max(units, 1), urls / max(words_all + urls, 1))

@@ -40,3 +40,34 @@ def test_degenerate_tables(spark):
     assert S.spam_pages(df.limit(0)).count() == 0
     only = spark.createDataFrame([(1, KEYS * 12, None)], "doc_id bigint, text string, source string")
     assert {r.doc_id for r in S.spam_pages(only).collect()} == {1}
+
+
+def _keywords(n):
+    return ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) + "lamp" for i in range(n)]
+
+
+def test_repetition_on_long_pages():
+    words = _keywords(140)
+    shuffled = [w for k in range(40) for w in words[k:] + words[:k]]
+    assert share(", ".join(shuffled)) > 0.9
+    assert share("\n".join(", ".join(shuffled[i:i + 10]) for i in range(0, len(shuffled), 10))) > 0.9
+    assert share("\n".join(shuffled)) > 0.9
+    # Prose elsewhere on the page doesn't change the list's share.
+    assert 0.5 < share(", ".join(shuffled) + "\n" + PROSE * 200) < 0.7
+    assert share(" ".join(w for w in words for _ in range(2))) > 0.9
+
+
+def test_tag_lines():
+    words = _keywords(60)
+    assert share(" ".join("#" + w for w in words)) > 0.9
+    assert share("Tags: " + ", ".join(words)) > 0.9 and share(" | ".join(words)) > 0.9
+    assert share(PROSE * 3 + "\nTags: bridge, annex, vote") < 0.1
+    names = "Present: " + ", ".join(w.title() for w in words)
+    assert share(names) < 0.1
+
+
+def test_long_lists_are_found(spark):
+    words = _keywords(140)
+    rows = [(i, PROSE * (2 + i % 3), "h") for i in range(20)] + [(100 + i, KEYS * 12, "h") for i in range(5)] + [(200, ", ".join(words * 40), "h"), (201, " ".join("#" + w for w in words), "h")]
+    got = {r.doc_id for r in S.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), per_class=50).collect()}
+    assert got == {*range(100, 105), 200, 201}
