@@ -1,7 +1,7 @@
-r"""Sentence units across languages and scripts, in SQL expressions.
+r"""Sentence units across languages and scripts, in SQL expressions and one Python fold.
 
 Terminators that end nothing (in decimals, URLs, initials, abbreviations, list marks,
-parentheses and quotations) are masked by a private-use character, one for one, so
+parentheses and quotations of any length) are masked by a private-use character, one for one, so
 offsets hold.  What is left of terminators, by script, is followed by a cut mark;
 splitting at the marks gives the pieces, and their running lengths the offsets.  Units
 are cut out of the untouched original text, which restores what was masked.
@@ -11,6 +11,10 @@ Only the lengths of the pieces are shuffled, not the texts.
 
 from __future__ import annotations
 
+import re
+from unicodedata import category
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +52,12 @@ def _words(words: str) -> str:
     return "(?:" + "|".join(w.replace(".", "[." + MASK + "]") for w in sorted(set(words.split()), key=len, reverse=True)) + ")"
 
 
-def mask_steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order; a replacement is as long as its match.
+def _steps() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The steps before and after the marks inside quotations and parentheses are masked.
 
     Patterns begin with the mark itself, so that what is looked for around it is only
     looked for there.
     """
-    # What isn't a mark of the pair, and the closing mark.  Neighbouring marks are given
-    # as ranges, which are matched much faster than lists.
-    inside = [
-        ("[^\\u201c-\\u201d]", "\\u201d"), ("[^\\u201c-\\u201e]", "(?<!\\s)[\\u201c-\\u201d]"), ("[^\\u00ab\\u00bb]", "\\u00bb"),
-        ("[^()]", "\\)"), ("[^\\uff08-\\uff09]", "\\uff09"), ("[^\\u300c-\\u300d]", "\\u300d")]
-    goes_on = f"{_GAP}(?:[,;:\\u060c\\u061b\\u3001\\uff0c\\uff1b\\uff1a\\u2013\\u2014]|-\\s|{_SMALL}|[{_CASELESS}])"
     steps = [
         (f"[{MASK}{CUT}]", "�"),  # private-use characters that were there before
         # URLs and addresses
@@ -81,15 +79,18 @@ def mask_steps() -> list[tuple[str, str]]:
         (r"\.(?=\s\p{N}{1,2}\.\s\p{N}{2,4}\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}\.)", MASK),
         (r"\.(?=\s\p{N}{2,4}\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}[." + MASK + r"]\s\p{N}{1,2}\.)", MASK),
         (r"\.(?=\s(?:" + "|".join(MONTHS.split()) + r")\b)(?<=" + _BEFORE_WORD + r"\p{N}{1,2}\.)", MASK),
-        # marks inside a quotation or parenthesis after which the sentence goes on
-        *((f"[.?!;\\u2026\\u061f](?={a}{{0,600}}+{b}(?:{goes_on}{'|[.?!;]' if b in (inside[3][1], inside[4][1]) else ''}))", MASK) for a, b in inside),
-        ("[.?!\\u2026\\u061f](?=[^\"]{0,600}+(?<=[.?!,\\u2026" + MASK + "])\"" + goes_on + ")", MASK),
+    ]
+    return steps, [
         (f"[？！?!](?={_CLOSE}+[{_CJK}])", MASK),
         (f"[。](?={_CLOSE}+と)", MASK),
         # a mark before a small letter, a comma or the like
         (f"[.?!\\u2026](?={_GAP}(?:{_SMALL}|[,;:%]))", MASK),
     ]
-    return steps
+
+
+def mask_steps() -> list[tuple[str, str]]:
+    """(pattern, replacement) of all steps in order; a replacement is as long as its match."""
+    return [step for part in _steps() for step in part]
 
 
 #: What ends a unit, with the closing marks that belong to it, by script.
@@ -111,9 +112,86 @@ ENDINGS = [
 ]
 
 
+#: Opening marks by closing mark; the German closing mark is the English opening one.
+_OPENING_OF = {"”": "“„", "»": "«", ")": "(", "）": "（", "」": "「"}
+_MARKS = re.compile("[“”„«»()（）「」\"]")
+_INSIDE, _INSIDE_STRAIGHT = ({ord(c): MASK for c in marks} for marks in (".?!;…؟", ".?!…؟"))
+_GAP_RE = re.compile(_GAP)
+_LIST_MARK_RE = re.compile("(?:^|\\n)[ \\t>*|-]{0,8}(?:[0-9]{1,3}|[ivxlcIVXLC]{1,6}|[^\\W\\d_])$")
+
+
+def _goes_on(text: str, at: int, parenthesis: bool = False) -> bool:
+    """Whether the sentence goes on at the end of a quotation or parenthesis."""
+    at = _GAP_RE.match(text, at).end()
+    c, rest = text[at:at + 1], text[at + 1:at + 3]
+    if not c or c in ",;:،؛、，；：–—" or (parenthesis and c in ".?!;"):
+        return bool(c)
+    if c == "-":
+        return rest[:1].isspace()
+    if category(c) == "Ll":
+        return not (rest[:1] == "-" and rest[1:].isalpha() or rest and category(rest[0]) == "Lu")
+    return "֐" <= c <= "ݏ" or "ऀ" <= c <= "෿" or "฀" <= c <= "໿" or "ሀ" <= c <= "፿"
+
+
+def mask_spans(text: str) -> str:
+    """``text`` with the marks masked inside quotations and parentheses after which the sentence goes on.
+
+    These may be of any length and nested; a closing mark without an opening one closes
+    nothing.  One pass, linear in the text.
+    """
+    stacks: dict[str, list[tuple[str, int]]] = {}
+    spans: list[tuple[int, int, bool]] = []
+    straight = None
+    for m in _MARKS.finditer(text):
+        c, at = m[0], m.start()
+        before = text[at - 1] if at else " "
+        if c == '"':
+            if straight is not None and before in ".?!,…" + MASK and _goes_on(text, at + 1):
+                spans.append((straight, at, True))
+            opens = not before.isalnum() and before not in ".?!,…" + MASK and not text[at + 1:at + 2].isspace()
+            straight = at if opens else None
+            continue
+        kind = "”" if c == "“" else c
+        if c in "“”":
+            stack = stacks.setdefault("”", [])
+            closes = bool(stack) and (stack[-1][0] == "„" and not before.isspace() if c == "“" else stack[-1][0] == "“" or not before.isspace())
+        else:
+            closes = c in _OPENING_OF
+            kind = c if closes else next(k for k, v in _OPENING_OF.items() if c in v)
+            stack = stacks.setdefault(kind, [])
+            if c == ")" and _LIST_MARK_RE.search(text, max(0, at - 16), at):
+                continue
+        if not closes:
+            if c != "”":
+                stack.append((c, at))
+        elif stack:
+            _, start = stack.pop()
+            if _goes_on(text, at + 1, c in ")）"):
+                spans.append((start, at, False))
+    out, done = [], 0
+    # The outermost come first; what lies in one that is masked needs nothing more.
+    for start, end, is_straight in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if end > done:
+            out += [text[done:start], text[max(done, start):end].translate(_INSIDE_STRAIGHT if is_straight else _INSIDE)]
+            done = end
+    return "".join(out) + text[done:] if out else text
+
+
+def _masked_spans(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(mask_spans, na_action="ignore")
+
+    return spans(text)
+
+
 def masked(text: Column) -> Column:
     """``text`` with every terminator that ends nothing replaced by a placeholder."""
-    for pattern, replacement in mask_steps():
+    before, after = _steps()
+    for pattern, replacement in before:
+        text = F.regexp_replace(text, pattern, replacement)
+    text = _masked_spans(text)
+    for pattern, replacement in after:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 

@@ -74,3 +74,16 @@ def test_repeated_rows_and_empty_table(spark):
 @pytest.mark.parametrize("pattern,replacement", S.mask_steps())
 def test_masks_keep_length(pattern, replacement):
     assert len(replacement) == 1
+
+
+def test_long_and_nested_quotations(spark):
+    inner = "It was so. Was it? " * 60
+    whole = [
+        f"“{inner}It was,” said Orla to Bo.", f"The motion ({inner}or so they say) failed.", f"„{inner}So war es“, sagte Bo.", f"\"{inner}It was,\" said Orla.", f"«{inner}Oui», dit Bo.",
+        f"The motion (see Bo. Also (but not here. Never!) see Cy. {inner}Then Di) failed.",
+    ]
+    got = run(spark, [f"{w} Then all left." for w in whole])
+    assert got == [[(0, len(w)), (len(w) + 1, len(w) + 15)] for w in whole]
+    # Ended quotations, and closing marks that close nothing, leave units as they are.
+    (ended, lists) = run(spark, [f"“{inner.strip()}” Then all left.", "One came. Two left.\n\na) first item. Next."])
+    assert len(ended) == 121 and lists[:2] == [(0, 9), (10, 19)]
