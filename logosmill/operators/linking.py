@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logosmill.operators import hierarchy as H
 from logosmill.operators.substrate import TOKEN, folded
 from logosmill.session import broadcast_if_small
 
@@ -94,6 +95,35 @@ def candidates(nodes: DataFrame, signals: DataFrame, key: str) -> DataFrame:
     return first.unionByName(second).where("s_node_id <> t_node_id").select(key, F.col("s_node_id").alias("source_id"), F.col("t_node_id").alias("target_id"), (F.signum(gap) * F.log1p(F.abs(gap))).alias("distance"))
 
 
+# Words in a source's first 80 characters, by flag.
+LEXICAL_FLAGS = {
+    "contrast": ["however", "although", "but", "whereas"], "cause": ["because", "therefore", "thus", "as a result"], "condition": ["if", "unless", "otherwise"]}
+
+
+def structural_features(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Adds distances, length ratio, hops, kinds and lexical flags to pairs (key, source_id, target_id).
+
+    ``nodes``: key, node_id, parent_id, kind, start_pos, stop_pos, first_edu, text.  hops
+    counts the links of the tree path between the two; null if none joins them.  Flags look
+    for the words anywhere in the source's first 80 characters, so 'but' is found in 'button'.
+    """
+    links = nodes.select(
+        F.lit("nodes").alias("tree_table"), F.col(key).cast("string").alias("tree_id"), F.col("node_id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent"))
+    paths = H.hierarchy(links).select(F.col("tree_id").alias("_k"), F.col("id").alias("_id"), "path")
+    full = nodes.withColumn("_k", F.col(key).cast("string")).withColumn("_id", F.col("node_id").cast("string")).join(paths, ["_k", "_id"])
+    side = lambda p: full.select(key, F.col("node_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("path", "kind", "start_pos", "stop_pos", "first_edu", "text")])
+    both = pairs.join(side("source"), [key, "source_id"]).join(side("target"), [key, "target_id"])
+    gap = F.col("target_start_pos") - F.col("source_start_pos")
+    shared = F.size(F.array_intersect("source_path", "target_path"))
+    length = lambda p: F.greatest(F.lit(1), F.col(f"{p}_stop_pos") - F.col(f"{p}_start_pos"))
+    begin = F.lower(F.substring("source_text", 1, 80))
+    return both.select(
+        *pairs.columns, (F.signum(gap) * F.log1p(F.abs(gap))).alias("log_distance"), (F.col("target_first_edu") - F.col("source_first_edu")).alias("edu_distance"),
+        F.when(shared > 0, F.size("source_path") + F.size("target_path") - 2 * shared).alias("hops"), F.ln(length("source") / length("target")).alias("length_ratio"),
+        (F.col("source_kind") == "edu").alias("source_is_edu"), (F.col("target_kind") == "edu").alias("target_is_edu"),
+        *[begin.rlike("|".join(words)).alias(name) for name, words in LEXICAL_FLAGS.items()])
+
+
 def decoded_edges(scores: DataFrame, key: str, threshold: float) -> DataFrame:
     """Adds ``decision`` to scored edges (key, source_id, target_id, relation, edge_p, relation_p, signal).
 

@@ -13,6 +13,7 @@ from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CAPACITY = 128  # fixed value
 
@@ -200,3 +201,13 @@ def evaluated(theories: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["theory_id", "kind", "a", "b", "detail"])
 
     return theories.select("theory_id", "theory").mapInPandas(run, "theory_id string, kind string, a string, b string, detail string")
+
+
+def framework(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The defeat graph of :func:`evaluated` rows as args (af_id, arg, ord) and attacks (af_id, src, dst).
+
+    ``ord`` is the order of creation.  Theories with an error give nothing.
+    """
+    args = rows.where("kind = 'argument'").select(F.col("theory_id").alias("af_id"), F.col("a").alias("arg"), F.substring_index("a", "_", -1).cast("int").alias("ord"))
+    attacks = rows.where("kind = 'defeat'").select(F.col("theory_id").alias("af_id"), F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return args, attacks

@@ -291,3 +291,51 @@ def stitched(micro: DataFrame, macro: DataFrame, sections: DataFrame) -> DataFra
     outer = macro.where("section_no is null").select("doc_id", F.concat(F.lit("m:"), "node_id").alias("node_id"), F.concat(F.lit("m:"), "parent_id").alias("parent_id"),
                                                      F.lit(None).cast("bigint").alias("start_pos"), F.lit(None).cast("bigint").alias("stop_pos"))
     return inner.unionByName(outer)
+
+
+def recombination_violations(nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, unit_no, rule) of what :func:`recombined` refuses a document for.
+
+    rule: 'roots' (a unit without exactly one root, also without nodes), 'unknown_unit'
+    (nodes of a unit that isn't stated) or 'single_unit' (nothing to recombine).
+    """
+    roots = nodes.groupBy("doc_id", "unit_no").agg(F.count(F.when(F.col("parent_id").isNull(), 1)).alias("r"))
+    bad = units.join(roots, ["doc_id", "unit_no"], "left").where(F.coalesce("r", F.lit(0)) != 1).select("doc_id", "unit_no", F.lit("roots").alias("rule"))
+    unknown = roots.join(units, ["doc_id", "unit_no"], "left_anti").select("doc_id", "unit_no", F.lit("unknown_unit").alias("rule"))
+    single = units.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("unit_no").alias("unit_no")).where("n < 2").select("doc_id", "unit_no", F.lit("single_unit").alias("rule"))
+    return bad.unionByName(unknown).unionByName(single)
+
+
+def recombined(nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """One tree per document out of the trees of its units, under one 'same-unit' root over the unit roots.
+
+    ``nodes``: doc_id, unit_no, node_id, parent_id, relation, nuclearity, first_edu, last_edu
+    (from 1 in each unit), start_pos, stop_pos; ``units``: doc_id, unit_no, start_pos, stop_pos.
+    Result: the same with ids running on from unit to unit, units and characters of the
+    document, and local_id; the new root comes last and has no unit_no.  A document with a
+    violation gives no rows.
+    """
+    refused = recombination_violations(nodes, units).select("doc_id").distinct()
+    good = nodes.join(refused, "doc_id", "left_anti")
+    edus = good.groupBy("doc_id", "unit_no").agg(F.max("last_edu").alias("_edus"))
+    before = Window.partitionBy("doc_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, -1)
+    offset = units.select("doc_id", "unit_no", F.col("start_pos").alias("_o")).join(edus, ["doc_id", "unit_no"]).withColumn("_e", F.coalesce(F.sum("_edus").over(before), F.lit(0)))
+    ids = good.select("doc_id", "unit_no", "node_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no", "node_id")).alias("_id"))
+    up = ids.select("doc_id", "unit_no", F.col("node_id").alias("parent_id"), F.col("_id").alias("_up"))
+    ends = units.groupBy("doc_id").agg(F.max("stop_pos").alias("_stop"))
+    last = ids.groupBy("doc_id").agg((F.max("_id") + 1).alias("_root")).join(edus.groupBy("doc_id").agg(F.sum("_edus").alias("_n")), "doc_id").join(ends, "doc_id")
+    top = F.col("parent_id").isNull()
+    moved = good.join(ids, ["doc_id", "unit_no", "node_id"]).join(up, ["doc_id", "unit_no", "parent_id"], "left").join(
+        offset.drop("_edus"), ["doc_id", "unit_no"]).join(last.select("doc_id", "_root"), "doc_id")
+    big = lambda c, name: c.cast("bigint").alias(name)
+    rows = moved.select(
+        "doc_id", "unit_no", big(F.col("_id"), "node_id"), big(F.when(top, F.col("_root")).otherwise(F.col("_up")), "parent_id"),
+        F.when(top, "same-unit").otherwise(F.col("relation")).alias("relation"), F.when(top, "NN").otherwise(F.col("nuclearity")).alias("nuclearity"),
+        big(F.col("first_edu") + F.col("_e"), "first_edu"), big(F.col("last_edu") + F.col("_e"), "last_edu"),
+        big(F.col("start_pos") + F.col("_o"), "start_pos"), big(F.col("stop_pos") + F.col("_o"), "stop_pos"), F.col("node_id").alias("local_id"))
+    kinds = dict(rows.dtypes)
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    root = last.select(
+        "doc_id", none("unit_no"), big(F.col("_root"), "node_id"), none("parent_id"), none("relation"), none("nuclearity"), big(F.lit(1), "first_edu"), big(F.col("_n"), "last_edu"),
+        big(F.lit(0), "start_pos"), big(F.col("_stop"), "stop_pos"), none("local_id"))
+    return rows.unionByName(root)
