@@ -64,7 +64,8 @@ _BACK = {ord(v): k for k, v in _STAND_IN.items()}
 _LINE_END = re.compile(r" +(?=\n)")
 
 #: JVM-side quick check: printable ASCII and line feeds need nothing but trimming; so does text in stable ideographs.
-STABLE_TEXT = r"^[\x20-\x7e\n、-〩一-鿿]*$"
+#: In Java "$" would also match before a final CR, U+0085 or U+2028.
+STABLE_TEXT = r"^[\x20-\x7e\n、-〩一-鿿]*\z"
 
 
 def _inside(cp: int, ranges: list[tuple[int, int]]) -> bool:
@@ -135,7 +136,7 @@ def canonical_column(text: Column) -> Column:
     def unstable(texts: pd.Series) -> pd.Series:
         return texts.map(canonical, na_action="ignore")
 
-    trimmed = F.regexp_replace(F.regexp_replace(text, r" +(?=\n)", ""), r"^[ \n]+|[ \n]+$", "")
+    trimmed = F.regexp_replace(F.regexp_replace(text, r" +(?=\n)", ""), r"^[ \n]+|[ \n]+\z", "")
     stable = text.rlike(STABLE_TEXT)
     return F.when(stable, trimmed).otherwise(unstable(F.when(~stable, text)))
 

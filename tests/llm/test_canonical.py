@@ -64,3 +64,10 @@ def test_column_keeps_nulls_and_long_texts(spark):
     df = spark.createDataFrame([(None,), ("",), ("  x  ",), (long,)], "t string")
     got = [r[0] for r in C.canonicalize(df, "t").select("t_canonical").collect()]
     assert got == [None, "", "x", ("a " * 300_000).rstrip()]
+
+
+def test_texts_ending_in_unstable_line_ends(spark):
+    ends = ["", "\r", "\r\n", "\u0085", "\u2028", "\u2029", " \n", "\n\r\n"]
+    df = spark.createDataFrame([(i, "abc" + e) for i, e in enumerate(ends)], "k bigint, text string")
+    assert [r.text_canonical for r in C.canonicalize(df, "text").orderBy("k").collect()] == ["abc"] * len(ends)
+    assert C.lookalike_pairs(df, "k", "text").count() == len(ends) * (len(ends) - 1) // 2
