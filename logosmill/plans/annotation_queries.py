@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logosmill.operators import annotations as N
 from logosmill.operators import dialogue as D
 from logosmill.operators import entities as E
+from logosmill.operators import substrate as S
 from logosmill.session import table
 
 CLASSES = ["assertive", "directive", "commissive", "expressive", "declaration"]
@@ -85,9 +86,14 @@ def entity_keys(spark, d):
     return base.select("p_partkey", E.entity_key(F.col("s")).alias("k")).select("p_partkey", "k.key", "k.plural")
 
 
+def _english(spark, d):
+    """Documents in English by their text, whatever their tag."""
+    return S.with_language(table(spark, d, "documents").select("doc_id", "text", "lang")).where("language = 'en'").select("doc_id", "text")
+
+
 def document_coherence(spark, d):
     """Centering with pronouns over all English documents."""
-    docs = table(spark, d, "documents").where("lower(substring(lang, 1, 2)) = 'en'").select("doc_id", "text")
+    docs = _english(spark, d)
     centers = D.forward_centers(E.document_mentions(docs))
     none = F.array().cast("array<string>")
     t = D.transitions(E.document_utterances(docs).join(centers, ["doc_id", "u"], "left").select("doc_id", "u", F.coalesce("cf", none).alias("cf")))
@@ -95,7 +101,7 @@ def document_coherence(spark, d):
 
 
 def entity_grid(spark, d):
-    docs = table(spark, d, "documents").where("lower(substring(lang, 1, 2)) = 'en'").select("doc_id", "text")
+    docs = _english(spark, d)
     return E.grid(E.document_mentions(docs))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logosmill.functions.lexicons import CUES, OPENING_MARKERS
 from logosmill.operators import preparation as P
 from logosmill.operators import substrate as S
-from logosmill.session import broadcast_if_small, table
+from logosmill.session import broadcast_if_small, cut, table
 
 COMMON = [("frequent_word", w, "function_word") for w in ("the", "of", "and", "to", "that", "in", "is", "der", "die", "la", "de")]
 PRIMARY = ["title", "heading", "paragraph", "list_item", "turn"]
@@ -177,8 +177,9 @@ def capacity_plan(spark, d):
 
 
 def opening_markers(spark, d):
-    """Clause-opening markers of each document's language."""
-    out = S.opening_cues(table(spark, d, "documents"), OPENING_MARKERS, lang="lang")
+    """Clause-opening markers of each document's language, which its text decides where it is clear."""
+    docs = cut(S.with_language(table(spark, d, "documents").select("doc_id", "text", "lang"), name="spoken"))
+    out = S.opening_cues(docs, OPENING_MARKERS, lang="spoken")
     return out.groupBy("doc_id", "language", "cue", "relation").agg(F.count("*").alias("n"))
 
 

@@ -109,3 +109,16 @@ def test_enclosing_and_greedy(spark):
     assert {r.cue_id: r.node_id for r in L.enclosing(cues, nodes, "k").collect()} == {"c1": "n2", "c2": None}
     s = spark.createDataFrame([("d", 0, 3), ("d", 0, 5), ("d", 4, 6), ("d", 5, 7)], "k string, start_pos long, stop_pos long")
     assert sorted((r.start_pos, r.stop_pos) for r in L.greedy_spans(s, ["k"]).collect()) == [(0, 5), (5, 7)]
+
+
+def test_language_by_text(spark, tmp_path):
+    from logosmill.plans import annotation_queries
+
+    en, fr = "The editor defended the claim, and it is clear that they were not heard by the chair.", "Le juge est parti, et les autres ne sont pas venus avec une lettre pour le maire."
+    rows = [(1, en, None), (2, en, "und"), (3, en, "fr"), (4, fr, "EN"), (5, "Yes.", "en-GB"), (6, "Так было, но это не то, что было.", None), (7, "这是一个例子，没有空格的文字。", "und"), (8, "Tаkе this, аnd the rеst оf it is thеirs, not yours.", "en"), (9, "...", None), (10, None, "de"), (11, "Ciao a tutti", "it")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.language for r in S.with_language(df).collect()}
+    assert got == {1: "en", 2: "en", 3: "en", 4: "fr", 5: "en", 6: "ru", 7: "zh", 8: "en", 9: "und", 10: "de", 11: "it"}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {1, 2, 3} <= {r.doc_id for r in annotation_queries.document_coherence(spark, str(tmp_path)).collect()}
+    assert 4 not in {r.doc_id for r in annotation_queries.entity_grid(spark, str(tmp_path)).collect()}
