@@ -149,7 +149,8 @@ def span_check(text: Column, span: Column) -> Column:
 def quote_status(text: Column, quote: Column, occurrence: Column) -> Column:
     """What became of a quotation: resolved, or a hint at the mistake."""
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    n = F.size(F.split(text, F.concat(F.lit("\\Q"), quote, F.lit("\\E")), -1)) - 1
+    # Counted literally; an empty quotation stands before every character.
+    n = F.when(quote == "", F.length(text)).otherwise((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.nullif(F.length(quote), F.lit(0)))
     return (F.when(n >= occurrence, "resolved").when(n > 0, "too_few_occurrences")
             .when(quote.startswith("[u_"), "unit_header").when(F.instr(F.lower(text), F.lower(quote)) > 0, "case_mismatch")
             .when(F.instr(squeeze(text), squeeze(quote)) > 0, "whitespace_mismatch").otherwise("absent"))

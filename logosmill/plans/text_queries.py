@@ -41,10 +41,19 @@ def token_counts(spark, d):
 
 
 def overlapping_matches(spark, d):
-    """Overlapping occurrences of a needle in requirements' and items' names: count and last place."""
+    """Overlapping occurrences of a needle in benchmark items: count and last place."""
+    return _needle(table(spark, d, "benchmark"), "item_id")
+
+
+def document_needles(spark, d):
+    """The same in documents."""
+    return _needle(table(spark, d, "documents").where("text is not null"), "doc_id")
+
+
+def _needle(rows, key):
     at = S.overlapping_occurrences(F.col("text"), "ee")
-    return table(spark, d, "benchmark").select("item_id", at.alias("at")).select(
-        "item_id", F.size("at").cast("bigint").alias("n"), F.coalesce(F.get("at", F.size("at") - 1), F.lit(-1)).cast("bigint").alias("last_start"))
+    return rows.select(key, at.alias("at")).select(
+        key, F.size("at").cast("bigint").alias("n"), F.coalesce(F.get("at", F.size("at") - 1), F.lit(-1)).cast("bigint").alias("last_start"))
 
 
 def quote_resolution(spark, d):
@@ -52,7 +61,7 @@ def quote_resolution(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     cut = F.substring("text", 5, 24)
     quote = (F.when(F.col("doc_id") % 4 == 0, cut).when(F.col("doc_id") % 4 == 1, F.translate(cut, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(F.col("doc_id") % 4 == 2, F.regexp_replace(cut, " ", "  ")).otherwise(F.concat(F.lit("[u_1] "), cut)))
-    return docs.where("instr(text, '\\\\') = 0").select("doc_id", S.quote_status(F.col("text"), quote, F.lit(1)).alias("status"))
+    return docs.select("doc_id", S.quote_status(F.col("text"), quote, F.lit(1)).alias("status"))
 
 
 def span_validation(spark, d):
@@ -190,7 +199,7 @@ def section_shards(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    cue_signals, cue_documents, year_mentions, sentence_spans, token_counts, overlapping_matches, quote_resolution, span_validation, boundary_overlaps,
+    cue_signals, cue_documents, year_mentions, sentence_spans, token_counts, overlapping_matches, document_needles, quote_resolution, span_validation, boundary_overlaps,
     containing_boundary, section_spans, speakers, normalised_lines, assembled_ranges, segment_dispositions, admitted_items, requirement_views,
     front_and_back_matter, inventory_checks, coverage, item_steps, table_lines, capacity_plan, opening_markers, section_shards)}
 
@@ -220,6 +229,8 @@ SELECT doc_id, sentence_no, CAST(b AS BIGINT) AS start_pos, CAST(b + length(rege
     "token_counts": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS BIGINT) AS n_tokens, greatest(1, len(regexp_extract_all(text, '\S+'))) AS estimate FROM documents""",
     "overlapping_matches": """WITH p AS (SELECT item_id, list_filter(range(length(text)), lambda i: substring(text, i + 1, 2) = 'ee') AS places FROM benchmark)
 SELECT item_id, CAST(len(places) AS BIGINT) AS n, coalesce(places[len(places)], -1) AS last_start FROM p""",
+    "document_needles": """WITH p AS (SELECT doc_id, list_filter(range(length(text)), lambda i: substring(text, i + 1, 2) = 'ee') AS places FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(places) AS BIGINT) AS n, coalesce(places[len(places)], -1) AS last_start FROM p""",
     "quote_resolution": r"""WITH q AS (SELECT doc_id, text, substring(text, 5, 24) AS c FROM documents WHERE text IS NOT NULL AND instr(text, '\') = 0),
 r AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN c WHEN 1 THEN translate(c, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN replace(c, ' ', '  ') ELSE '[u_1] ' || c END AS q FROM q)
 SELECT doc_id, CASE WHEN contains(text, q) THEN 'resolved' WHEN starts_with(q, '[u_') THEN 'unit_header' WHEN contains(lower(text), lower(q)) THEN 'case_mismatch'

@@ -122,3 +122,16 @@ def test_language_by_text(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert {1, 2, 3} <= {r.doc_id for r in annotation_queries.document_coherence(spark, str(tmp_path)).collect()}
     assert 4 not in {r.doc_id for r in annotation_queries.entity_grid(spark, str(tmp_path)).collect()}
+
+
+def test_quotations_with_backslashes(spark, tmp_path):
+    from logosmill.plans import text_queries
+
+    rows = [(1, "a\\Eb a\\Eb", "a\\Eb", 2), (2, "a\\Qb", "\\Q", 1), (3, "x.x", "x", 3), (4, "one", "", 1), (5, "C:\\dir", "c:\\DIR", 1), (6, "aaa", "aa", 2)]
+    df = spark.createDataFrame(rows, "k int, text string, quote string, n int")
+    got = {r.k: r.s for r in df.select("k", S.quote_status(F.col("text"), F.col("quote"), F.col("n")).alias("s")).collect()}
+    assert got == {1: "resolved", 2: "resolved", 3: "too_few_occurrences", 4: "resolved", 5: "case_mismatch", 6: "too_few_occurrences"}
+    text = "See C:\\Eng\\Quotes for the whole freeee text of it."
+    spark.createDataFrame([(4, text), (8, "The whole text without any of it.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in text_queries.quote_resolution(spark, str(tmp_path)).collect()} == {(4, "resolved"), (8, "resolved")}
+    assert {tuple(r) for r in text_queries.document_needles(spark, str(tmp_path)).collect()} == {(4, 4, text.rindex("ee")), (8, 0, -1)}
