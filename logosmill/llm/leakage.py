@@ -6,8 +6,10 @@ consecutive words of an item.  For blocks of two words a shift table says how fa
 search may jump without missing a test string; where the shift is zero, the hash of the
 block selects the test strings that end with it, and comparing words confirms them.
 
-The item table is read in blocks of a bounded number of words; a block's tables are
-broadcast to the tasks, and the corpus is scanned once a block, without a shuffle.
+Items are spread over blocks of about as many words; the blocks are read one at a time,
+their tables are built once and broadcast, and the corpus is scanned once a block,
+without a shuffle.  Words become numbers by way of a cache of tokens, so that the costly
+folding of characters is done once a token and not once an occurrence.
 """
 
 from __future__ import annotations
@@ -23,94 +25,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logosmill.llm.canonical import canonical
+from logosmill.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,2000}>|<!--.{0,5000}?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrt])")
+#: ASCII punctuation and white space part words whatever stands beside them; all else is looked at token by token.
+_TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Comparable words: unbroken runs of letters or digits."""
+def _without_comments(text: str) -> str:
+    """Comments of any length taken off, in one pass; one that is never closed stays."""
+    parts, done = [], 0
+    while (start := text.find("<!--", done)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        parts += [text[done:start], " "]
+        done = stop + 3
+    return "".join(parts) + text[done:] if done else text
+
+
+def _tokens(text: str) -> list[str]:
     if "\\" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", canonical(text).casefold())
-        text = "".join(c for c in text if not unicodedata.combining(c))
-    return _WORD.findall(text.casefold())
+        text = _TAG.sub(" ", _without_comments(text))
+    return _TOKEN.findall(text)
+
+
+def _words_in(token: str) -> list[str]:
+    if token.isascii():
+        return [token.lower()]
+    token = unicodedata.normalize("NFKD", canonical(token).casefold())
+    return _WORD.findall("".join(c for c in token if not unicodedata.combining(c)).casefold())
+
+
+def words_of(text: str) -> list[str]:
+    """Comparable words: unbroken runs of letters or digits."""
+    return [w for token in _tokens(text) for w in _words_in(token)]
 
 
 class WuManber:
-    """Shift and suffix tables for runs of ``run`` words of the given items."""
+    """Shift and suffix tables for runs of ``run`` words of the given items.
+
+    Words are numbers, and a test string is a place in its item, so the tables grow with
+    the number of words only.
+    """
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int):
+    SUFFIX = 4  # words that choose the bucket
+    CACHED = 500_000  # tokens remembered; beyond that the cache begins anew
+
+    def __init__(self, items: list[tuple[object, list[str]]], run: int):
         self.run = run
-        self.shift: dict[tuple[str, str], int] = {}
-        self.ending: dict[tuple[str, str], list[tuple[tuple[str, ...], set[int]]]] = {}
-        strings: dict[tuple[str, ...], set[int]] = {}
-        for item, words in items:
-            for i in range(len(words) - run + 1):
-                strings.setdefault(tuple(words[i : i + run]), set()).add(item)
-        for string, owners in strings.items():
-            for j in range(1, run):
-                block, jump = string[j - 1 : j + 1], run - 1 - j
+        self.suffix = min(self.SUFFIX, run)
+        self.vocabulary: dict[str, int] = {}
+        self.keys = [key for key, _ in items]
+        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] for _, words in items]
+        self.base = len(self.vocabulary) + 1
+        self.shift: dict[int, int] = {}
+        self.ending: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.cache: dict[str, list[int]] = {}
+        for at, words in enumerate(self.words):
+            if len(words) < run:
+                continue
+            for j in range(1, len(words)):
+                block, jump = words[j - 1] * self.base + words[j], max(0, run - 1 - j)
                 if jump < self.shift.get(block, run - 1):
                     self.shift[block] = jump
-            self.ending.setdefault(string[-2:], []).append((string, owners))
-
-    def items_in(self, words: list[str]) -> set[int]:
-        """Items of which ``words`` holds a test string."""
+                if j >= run - 1:
+                    self.ending.setdefault(tuple(words[j - self.suffix + 1 : j + 1]), []).append((at, j))
+
+    def numbers(self, text: str) -> list[int]:
+        """The words of ``text`` as numbers; 0 is a word of no item."""
+        cache, out = self.cache, []
+        for token in _tokens(text):
+            known = cache.get(token)
+            if known is None:
+                if len(cache) >= self.CACHED:
+                    cache.clear()
+                known = cache[token] = [self.vocabulary.get(w, 0) for w in _words_in(token)]
+            out += known
+        return out
+
+    def items_in(self, text: str) -> set:
+        """Items of which ``text`` holds a test string."""
+        words = self.numbers(text)
         found: set[int] = set()
-        run, n, far, shift = self.run, len(words), self.run - 1, self.shift
-        at = run - 1  # where the window ends
+        run, base, far, shift = self.run, self.base, self.run - 1, self.shift
+        at, n = run - 1, len(words)  # where the window ends
         while at < n:
-            block = (words[at - 1], words[at])
-            jump = shift.get(block, far)
+            jump = shift.get(words[at - 1] * base + words[at], far)
             if jump:
                 at += jump
                 continue
-            for string, owners in self.ending[block]:
-                if not owners <= found and tuple(words[at - run + 1 : at + 1]) == string:
-                    found |= owners
+            for item, stop in self.ending.get(tuple(words[at - self.suffix + 1 : at + 1]), ()):
+                if item not in found and self.words[item][stop - run + 1 : stop + 1] == words[at - run + 1 : at + 1]:
+                    found.add(item)
             at += 1
-        return found
+        return {self.keys[i] for i in found}
 
 
 def leaked_items(
     items: DataFrame, documents: DataFrame, run: int = 13, item_key: str = "item_id", doc_key: str = "doc_id", text: str = "text",
-    block_words: int = 2_000_000,
+    block_characters: int = 5_000_000,
 ) -> DataFrame:
     """Distinct (item_id, doc_id) where the document holds ``run`` consecutive words of the item.
 
-    Null texts and keys match nothing, items of fewer than ``run`` words neither.  The
-    item table is collected in blocks of at most ``block_words`` words (a single item may
-    exceed it); every block is searched in all documents, so no item is left out.
+    Null texts and keys match nothing, items of fewer than ``run`` words neither.  Items
+    are spread by a hash over blocks of about ``block_characters``; only one block is in
+    the driver at a time, every block is searched in all documents, and with more than
+    one the hits of each are written before the next is read.
     """
+    if run < 2:
+        raise ValueError("a run has at least two words")
     spark = documents.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    filled = 0
-    for row in items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).distinct().toLocalIterator():
-        words = words_of(row[1])
-        if filled and filled + len(words) > block_words:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append((row[0], words))
-        filled += len(words)
-    schema = f"{item_key} bigint, {doc_key} bigint"
+    texts = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).alias("k"), F.col(text).alias("t")).distinct()
+    size = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-size // block_characters) or 1
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"{item_key} {kind(items, item_key)}, {doc_key} {kind(documents, doc_key)}"
     corpus = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(doc_key, text)
 
-    def search(block: list[tuple[int, list[str]]]) -> DataFrame:
-        tables = spark.sparkContext.broadcast((block, run))
+    def search(block: int) -> DataFrame:
+        own = texts.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block) if blocks > 1 else texts
+        machine = spark.sparkContext.broadcast(WuManber([(r.k, words_of(r.t)) for r in own.collect()], run))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            machine = WuManber(*tables.value)
+            find = machine.value.items_in
             for batch in batches:
-                hits = [(i, d) for d, t in zip(batch[doc_key], batch[text]) for i in machine.items_in(words_of(t))]
-                yield pd.DataFrame(hits, columns=[item_key, doc_key])
+                yield pd.DataFrame([(i, d) for d, t in zip(batch[doc_key], batch[text]) for i in find(t)], columns=[item_key, doc_key])
 
         return corpus.mapInPandas(scan, schema)
 
-    return reduce(DataFrame.unionByName, [search(b) for b in blocks]).distinct()
+    if blocks == 1:
+        return search(0).distinct()
+    return reduce(DataFrame.unionByName, [cut(search(b)) for b in range(blocks)]).distinct()

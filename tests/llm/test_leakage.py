@@ -23,7 +23,7 @@ def test_machine_against_brute_force():
         items = [(i, [rng.choice(WORDS) for _ in range(rng.randint(1, 9))]) for i in range(4)]
         machine = L.WuManber(items, run)
         doc = [rng.choice(WORDS) for _ in range(rng.randint(0, 40))]
-        assert {(i, 0) for i in machine.items_in(doc)} == brute([(i, " ".join(w)) for i, w in items], [(0, " ".join(doc))], run)
+        assert {(i, 0) for i in machine.items_in(' '.join(doc))} == brute([(i, " ".join(w)) for i, w in items], [(0, " ".join(doc))], run)
 
 
 def test_query_against_brute_force(spark):
@@ -37,7 +37,22 @@ def test_query_against_brute_force(spark):
     d = spark.createDataFrame([(*r, 3) for r in docs], "doc_id bigint, text string, item_id int")
     want = brute(items, docs, 13)
     assert {(1, 1), (1, 5), (2, 5), (1, 6), (1, 7), (6, 8), (1, 9)} <= want
-    for block in (2_000_000, 20):  # one block and several
-        got = L.leaked_items(i, d, block_words=block)
+    for block in (5_000_000, 200):  # one block and several
+        got = L.leaked_items(i, d, block_characters=block)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert L.leaked_items(i.limit(0), d).count() == 0 and L.leaked_items(i, d.limit(0)).count() == 0
+
+
+def test_markup_of_any_length():
+    words = [f"word{i}" for i in range(13)]
+    for inside in (f'<a href="{"x" * 2500}">', f"<!--{' y' * 20_000}-->", "<b>", "&nbsp;", "\\n", "\u00a0"):
+        assert L.words_of(f" {inside} ".join(words)) == words
+    assert L.words_of("a <!-- b") == ["a", "b"] and L.words_of("1 < 2 <b c") == ["1", "2", "b", "c"]
+    assert L.words_of("<!--" * 50_000)[:1] == [] and len(L.words_of("<a " * 50_000)) == 50_000
+
+
+def test_tokens_fold_as_whole_texts_do():
+    for text, want in [
+        ("Soft\u00adhyphen na\u00efve nai\u0308ve ＦＵＬＬ", ["softhyphen", "naive", "naive", "full"]), ("straße ﬁne…end", ["strasse", "fine", "end"]),
+        ("раура x_y 3.14", ["paypa", "x", "y", "3", "14"]), ("日本語の文。次", ["日本語の文", "次"])]:
+        assert L.words_of(text) == want, (text, L.words_of(text))
