@@ -116,6 +116,14 @@ def _best(window: np.ndarray, target: int) -> int:
     return int(strongest[np.argmin(np.abs(strongest - target))])
 
 
+def _needed_hard_cuts(cost: np.ndarray, strength: np.ndarray, limit: int, overlap: int) -> int:
+    """How many cuts must fall inside words: what is between two boundaries and exceeds a piece."""
+    n = len(cost) - 1
+    at = np.concatenate(([0], 1 + np.flatnonzero(strength[1:n] >= RANK["word"]), [n]))
+    between = np.diff(cost[at])
+    return int(np.ceil(np.maximum(between[between > limit] - overlap, 1) / (limit - overlap)).sum() - (between > limit).sum())
+
+
 def split_text(text: str, unit: str, limit: int, overlap: int, preference: list[str] | None) -> list[tuple[int, int, int]]:
     """(start, stop, strength of the cut at stop) of the pieces of ``text``.
 
@@ -138,18 +146,18 @@ def split_text(text: str, unit: str, limit: int, overlap: int, preference: list[
         inside[1:n] = solid[1:] & solid[:-1]
         strength[inside] = 0
     least = math.ceil((total - overlap) / (limit - overlap))
-    natural = bool((strength[1:n] >= RANK["word"]).any())
-    fallback, fewest = None, n
-    for k in range(least, 2 * least + 4):
+    needed = _needed_hard_cuts(cost, strength, limit, overlap)
+    fallback, fewest, k = None, n, least
+    while k <= 2 * least + 3:
         cuts = _attempt(cost, strength, k, limit, overlap, unit == "whitespace_tokens")
-        if cuts is None:
-            continue
-        hard = sum(int(strength[b]) < RANK["word"] for _, b in cuts[:-1])
-        if not natural or not hard:
-            return [(a, b, int(strength[b])) for a, b in cuts]
-        # Some word is longer than a piece: the fewest pieces with the fewest cut words.
-        if hard < fewest:
-            fallback, fewest = cuts, hard
+        if cuts is not None:
+            hard = sum(int(strength[b]) < RANK["word"] for _, b in cuts[:-1])
+            if hard <= needed:
+                return [(a, b, int(strength[b])) for a, b in cuts]
+            if hard < fewest:
+                fallback, fewest = cuts, hard
+        # One piece more at first; for many pieces by a sixteenth, so the attempts stay few.
+        k += max(1, (k - least) // 3, k // 16 if k - least >= 4 else 1)
     if fallback is None:  # granularity left no room: cut greedily
         fallback, start = [], 0
         while True:
@@ -184,7 +192,7 @@ def split_oversized(items: DataFrame, requirements: DataFrame, with_text: bool =
     texts under one row_id are both split.  Sizes are computed in the JVM; only oversized
     texts go to Python, where boundaries need look-around over the whole text.
     """
-    large = with_limits(items, requirements).where("size > limit").dropDuplicates(["row_id", "requirement_id", "text"] if with_text else ["row_id", "requirement_id", "size"])
+    large = with_limits(items, requirements).where("size > limit").withColumn("_d", F.md5("text")).dropDuplicates(["row_id", "requirement_id", "_d"])
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
