@@ -31,20 +31,25 @@ PACKED = "container string, capacity bigint, bin_id string, doc_id bigint, piece
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens) by the tokenizer file; a null text counts as an empty one."""
+    """(key, n_tokens) by the tokenizer file; a null text counts as an empty one.
+
+    The file (a vocabulary of some megabytes) is read in the driver and broadcast, so the
+    executors need not have it.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(vocabulary.value).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
     return documents.select(key, count(F.col(text)).alias("n_tokens"))
@@ -98,17 +103,19 @@ class BestFit:
 
 
 def pack(
-    counts: DataFrame, containers: list[tuple[str, int]], max_documents: int | None = None, block: int = 64,
+    counts: DataFrame, containers: list[tuple[str, int]], max_documents: int | None = None, max_cost: float | None = None, block: int = 64,
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01), items_per_group: int = 50_000, key: str = "doc_id",
 ) -> DataFrame:
     """Pack (key, n_tokens) rows into every kind of container: PACKED rows.
 
-    ``containers``: (name, capacity in tokens).  ``max_documents`` defaults to one per
-    two tokens of capacity.  The attention cost of an item is the square of its number of
-    ``block``-token blocks and a container's is that of one full-length item, or one per
-    document if that is more.  Documents without tokens, repeated keys and null keys: an
-    empty document takes no room and is in no container, a repeated key is packed once,
-    a null key not at all.  Ties go to the container opened first.
+    ``containers``: (name, capacity in tokens).  The attention cost of an item is the
+    square of its number of ``block``-token blocks.  ``max_documents`` defaults to one
+    document per 32 tokens, at least 16, so a container of very short documents is full
+    before its tokens are; ``max_cost`` defaults to the cost of one full-length item
+    (of small containers, four blocks' a document), and binds only where it is set lower.  An item that exceeds a
+    capacity by itself has a container to itself.  Documents without tokens, repeated keys
+    and null keys: an empty document takes no room and is in no container, a repeated key
+    is packed once, a null key not at all.  Ties go to the container opened first.
     """
     counts = cut(counts.where(F.col(key).isNotNull() & (F.col("n_tokens") > 0)).groupBy(key).agg(F.max("n_tokens").alias("n_tokens")))
     kinds = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in containers])
@@ -127,9 +134,9 @@ def pack(
             bins = []
             for name, capacity, group, size in zip(batch.container, batch.capacity, batch.grp, batch["size"]):
                 if (name, group) != current:
-                    documents = max_documents or max(1, capacity // 2)
                     current = (name, group)
-                    fit = BestFit(int(capacity), documents, max((-(-int(capacity) // block)) ** 2, documents), weights)
+                    documents = max_documents or max(16, int(capacity) // 32)
+                    fit = BestFit(int(capacity), documents, max_cost or max((-(-int(capacity) // block)) ** 2, 4 * documents), weights)
                 bins.append(f"{name}/{group}/{fit.place(int(size), (-(-int(size) // block)) ** 2)}")
             yield pd.DataFrame({
                 "container": batch.container, "capacity": batch.capacity, "bin_id": bins, key: batch[key], "piece_no": batch.piece_no,

@@ -45,6 +45,17 @@ def test_cost_limit():
     assert [fit.place(2, 3), fit.place(2, 2), fit.place(2, 1)] == [0, 1, 0]
 
 
+def test_all_three_capacities_bind(spark):
+    df = counts(spark, [(i, 4) for i in range(300)] + [(1000 + i, 192) for i in range(10)])
+    filled = bins(P.pack(df, [("a", 256)]).collect())
+    assert max(len(b) for b in filled.values()) == 16 and all(sum(r.n_tokens for r in b) <= 256 for b in filled.values())
+    filled = bins(P.pack(df, [("a", 256)], max_documents=99, max_cost=16).collect())
+    cost = lambda b: sum((-(-r.n_tokens // 64)) ** 2 for r in b)
+    assert max(map(cost, filled.values())) == 16 and any(sum(r.n_tokens for r in b) < 256 and cost(b) == 16 for b in filled.values())
+    alone = bins(P.pack(df, [("a", 256)], max_cost=5).collect())
+    assert all(len(b) == 1 for b in alone.values() if b[0].n_tokens == 192)
+
+
 def test_same_for_any_partitioning(spark):
     df = counts(spark, [(i, i % 50 + 1) for i in range(300)])
     a = {(r.doc_id, r.bin_id) for r in P.pack(df.repartition(1), [("a", 64)], items_per_group=100).collect()}
