@@ -1,7 +1,7 @@
 r"""Sentence units across languages and scripts, in SQL expressions and one Python fold.
 
-Terminators that end nothing (in decimals, URLs, initials, abbreviations, list marks,
-parentheses and quotations of any length) are masked by a private-use character, one for one, so
+Terminators that end nothing (in decimals, initials, abbreviations, list marks, and in
+addresses, parentheses and quotations of any length) are masked by a private-use character, one for one, so
 offsets hold.  What is left of terminators, by script, is followed by a cut mark;
 splitting at the marks gives the pieces, and their running lengths the offsets.  Units
 are cut out of the untouched original text, which restores what was masked.
@@ -60,8 +60,6 @@ def _steps() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """
     steps = [
         (f"[{MASK}{CUT}]", "�"),  # private-use characters that were there before
-        # URLs and addresses
-        (r"[.?!;](?=[\p{L}\p{N}/=&#_~%-])(?<=(?:://|www\.|@)\S{0,400}[.?!;])", MASK),
         # decimals, dates, versions, sections; then dotted words
         (r"[.!?·](?=\p{N})(?<=[\p{N}\p{L}][.!?·])", MASK),
         (r"\.(?=\p{L})(?<=\p{L}\.)(?!(?<=\p{Ll}{2}\.)\p{Lu}(?:\p{Ll}|\s|\.))", MASK),
@@ -133,12 +131,18 @@ def _goes_on(text: str, at: int, parenthesis: bool = False) -> bool:
     return "֐" <= c <= "ݏ" or "ऀ" <= c <= "෿" or "฀" <= c <= "໿" or "ሀ" <= c <= "፿"
 
 
+_ADDRESS = re.compile(r"(?:://|www\.|@)\S+")
+_IN_ADDRESS = re.compile(r"[.?!;](?=[\w/=&#~%-])")
+
+
 def mask_spans(text: str) -> str:
-    """``text`` with the marks masked inside quotations and parentheses after which the sentence goes on.
+    """``text`` with the marks masked inside addresses, and inside quotations and parentheses after which the sentence goes on.
 
     These may be of any length and nested; a closing mark without an opening one closes
     nothing.  One pass, linear in the text.
     """
+    if "://" in text or "www" in text or "@" in text:
+        text = _ADDRESS.sub(lambda m: _IN_ADDRESS.sub(MASK, m[0]), text)
     stacks: dict[str, list[tuple[str, int]]] = {}
     spans: list[tuple[int, int, bool]] = []
     straight = None
