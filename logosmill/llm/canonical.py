@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logosmill.session import cut
+from logosmill.session import broadcast_if_small, cut
 
 # Letters of other scripts with the Latin letter they are drawn like.
 LOOKALIKES = {
@@ -146,22 +146,49 @@ def canonicalize(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_canonical": canonical_column(F.col(c)) for c in columns})
 
 
-def lookalike_pairs(df: DataFrame, key: str, *columns: str) -> DataFrame:
+def _forms(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """(field_name, k, form, raw, changed): digests of 128 bits stand for the texts, so what is shuffled is small whatever their length."""
+    fields = canonicalize(df.select(key, *columns), *columns)
+    values = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw"), F.col(f"{c}_canonical").alias("form")) for c in columns]))
+    long = fields.select(F.col(key).alias("k"), values.alias("v")).select("k", "v.*").where("raw is not null and k is not null")
+    return cut(long.select(
+        "field_name", "k", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("raw")).alias("raw"), (F.col("form") != F.col("raw")).alias("changed")))
+
+
+def lookalike_pairs(df: DataFrame, key: str, *columns: str, hot: int = 10_000) -> DataFrame:
     """Pairs of rows whose values in a column look the same but differ in code points.
 
     Result: field_name, key_a < key_b, distinct.  Null values and null keys make no
     pairs, nor do equal values; rows sent twice count once.  Groups in which nothing
     was changed by normalization cannot hold two different texts and drop out before
-    the join, which has changed texts on one side only.
+    the join, which has changed texts on one side only.  A form with more than ``hot``
+    rows is split: its rows go to as many parts as it has times that number, and each
+    changed row to all of them.  :func:`lookalike_classes` has the same links without
+    writing out pairs.
     """
-    fields = canonicalize(df.select(key, *columns), *columns)
-    values = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw"), F.col(f"{c}_canonical").alias("form")) for c in columns]))
-    long = fields.select(F.col(key).alias("k"), values.alias("v")).select("k", "v.*").where("raw is not null and k is not null")
-    # Digests of 128 bits stand for the texts, so the shuffle is small whatever their length.
-    rows = cut(long.select(
-        "field_name", "k", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("raw")).alias("raw"), (F.col("form") != F.col("raw")).alias("changed")))
-    a = rows.where("changed").select("field_name", "form", F.col("k").alias("k1"), F.col("raw").alias("raw1"))
-    b = rows.select("field_name", "form", F.col("k").alias("k2"), F.col("raw").alias("raw2"), "changed")
-    pairs = a.join(b, ["field_name", "form"]).where("raw1 <> raw2 and k1 <> k2 and (not changed or k1 < k2)")
+    rows = _forms(df, key, columns)
+    sizes = rows.groupBy("field_name", "form").agg(F.count("*").alias("n"), F.max("changed").alias("c")).where(f"n > {hot} and c")
+    sizes = cut(sizes.select("field_name", "form", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    if not sizes.isEmpty():
+        rows = rows.join(broadcast_if_small(sizes), ["field_name", "form"], "left")
+    else:
+        rows = rows.withColumn("parts", F.lit(None).cast("int"))
+    parts = F.coalesce("parts", F.lit(1))
+    a = rows.where("changed").select("field_name", "form", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("k").alias("k1"), F.col("raw").alias("raw1"))
+    b = rows.select("field_name", "form", F.pmod(F.xxhash64("k", "raw"), parts).cast("int").alias("part"), F.col("k").alias("k2"), F.col("raw").alias("raw2"), "changed")
+    pairs = a.join(b, ["field_name", "form", "part"]).where("raw1 <> raw2 and k1 <> k2 and (not changed or k1 < k2)")
     return pairs.select("field_name", F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")).distinct()
+
+
+def lookalike_classes(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(field_name, key, class_id, variants, links) of rows that look like a row with other code points.
+
+    class_id is the digest of the canonical form, variants the number of different texts
+    of the class, links how many of its rows have another text than this one.
+    """
+    rows = _forms(df, key, columns).select("field_name", "k", "form", "raw").distinct()
+    texts = rows.groupBy("field_name", "form", "raw").agg(F.count("*").alias("n"))
+    classes = texts.groupBy("field_name", "form").agg(F.count("*").alias("variants"), F.sum("n").alias("total")).where("variants > 1")
+    known = texts.join(classes, ["field_name", "form"]).select("field_name", "form", "raw", "variants", (F.col("total") - F.col("n")).alias("links"))
+    return rows.join(known, ["field_name", "form", "raw"]).select("field_name", F.col("k").alias(key), F.lower(F.hex("form")).alias("class_id"), "variants", "links")

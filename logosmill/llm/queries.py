@@ -22,6 +22,12 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
         "segment_key", F.col("text_canonical").alias("text"), F.col("original_text_canonical").alias("original_text"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that look like another one with other code points, with their class instead of pairs."""
+    segments = table(spark, sf_dir, "prepared_segments").where("kind is null or kind <> 'separator'")
+    return canonical.lookalike_classes(segments, "segment_key", "text", "original_text")
+
+
 def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = lambda name, key: F.concat(F.lit(f"{name}|"), F.col(key).cast("string")).alias("row_id")
     a = table(spark, sf_dir, "prepared_segments").select(item("prepared_segments", "segment_key"), "text", "requirement_id")
@@ -69,7 +75,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_pieces, p3_found, p3_sentences, p6_pack, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p1_classes, p2_found, p2_pieces, p3_found, p3_sentences, p6_pack, p7_found, p8_found)}
 
 ORACLES = {
     "p2_found": r"""

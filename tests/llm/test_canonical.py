@@ -71,3 +71,17 @@ def test_texts_ending_in_unstable_line_ends(spark):
     df = spark.createDataFrame([(i, "abc" + e) for i, e in enumerate(ends)], "k bigint, text string")
     assert [r.text_canonical for r in C.canonicalize(df, "text").orderBy("k").collect()] == ["abc"] * len(ends)
     assert C.lookalike_pairs(df, "k", "text").count() == len(ends) * (len(ends) - 1) // 2
+
+
+def test_hot_forms_and_classes(spark):
+    forms = ["\u200b" * i for i in range(4)] + ["", " \u00ad"]  # all are blank to a reader
+    rows = [(i, forms[i % 6] if i < 90 else ("ab" if i % 2 else "a\u200bb"), None) for i in range(120)] + [(5, forms[5], None), (None, "ab", None), (500, "other", None)]
+    df = spark.createDataFrame(rows, "segment_key bigint, text string, form string")
+    values = {k: t for k, t, _ in rows if k is not None}
+    want = {("text", a, b) for a in values for b in values if a < b and values[a] != values[b] and C.canonical(values[a]) == C.canonical(values[b])}
+    for hot in (10, 1_000):
+        got = [tuple(r) for r in C.lookalike_pairs(df, "segment_key", "text", hot=hot).collect()]
+        assert set(got) == want and len(got) == len(want)
+    links = {r.segment_key: r.links for r in C.lookalike_classes(df, "segment_key", "text").collect()}
+    assert links == {k: sum(k in (a, b) for _, a, b in want) for k in values if any(k in (a, b) for _, a, b in want)}
+    assert C.lookalike_classes(df.limit(0), "segment_key", "text").count() == 0
