@@ -14,18 +14,26 @@ few joins.
 
 All joins have unique keys on both sides (child counts are aggregated first), so a
 parent that owns a third of all rows needs no special care.
+
+Trees of at most LOCAL_ROWS nodes are brought together once, and their rounds run on
+arrays within a task, many trees at a time.  Only larger trees take the distributed
+rounds, each of which is a few joins and a written table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logosmill.session import cut
+from logosmill.session import broadcast_if_small, cut
 
 KEYS = ["tree_table", "tree_id"]
+LOCAL_ROWS = 100_000  # nodes of a tree that one task works on
 
 
 def parent_links(
@@ -150,7 +158,7 @@ def _double(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("pointers contain a cycle")
 
 
-def cycle_nodes(contracted: DataFrame) -> DataFrame:
+def cycle_records(contracted: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle: the cores and what was spliced out of their loops.
 
     A spliced node lies on a cycle exactly if the child that took over does.
@@ -170,19 +178,9 @@ def cycle_nodes(contracted: DataFrame) -> DataFrame:
     return core.unionByName(on)
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
-    """Root, depth, path and number of descendants of every node.
-
-    Result: tree_table, tree_id, id, parent, status, root, depth, path, n_descendants,
-    cycle_path, ring.  status: 'root' (no parent given), 'orphan' (the parent does not
-    exist; the node counts as a root), 'node', 'cycle' (lies on a cycle), 'below_cycle'
-    (leads into one).  On and below cycles root, depth and path are null, as no root
-    exists; cycle_path leads from the cycle node they hang from to the node, and is null
-    elsewhere.  n_descendants of cycle nodes is null.  One node of each cycle has the
-    whole cycle in ring, every id before its child.  An empty table gives an empty result.
-    """
+def _distributed(links: DataFrame) -> DataFrame:
     rec = cut(contract(links, paths=True))
-    on_cycle = cut(cycle_nodes(rec))
+    on_cycle = cut(cycle_records(rec))
     at_cycle = F.col("at_cycle").isNotNull()
     # A cycle node is spliced into its child on the cycle, so no segment below a cycle runs through one.
     ids = rec.select(*KEYS, F.col("id").alias("ptr"), F.lit(1).alias("known")).join(
@@ -221,6 +219,217 @@ def hierarchy(links: DataFrame) -> DataFrame:
     )
 
 
+class Contraction:
+    """The contraction of a forest held in arrays; ``parent`` has each node's place of its parent, or -1.
+
+    removed: what was taken off in each round, in order; core: nodes that no round removes.
+    """
+
+    def __init__(self, parent: np.ndarray, seed: int = 11):
+        n = len(parent)
+        self.parent, self.ptr, self.dist = parent, parent.copy(), np.ones(n, dtype=np.int64)
+        self.child, self.top = np.full(n, -1, dtype=np.int64), np.arange(n)
+        self.weight, self.between = np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.removed: list[tuple[np.ndarray, bool]] = []
+        rank = np.random.default_rng(seed).permutation(n)
+        alive = np.arange(n)
+        while len(alive):
+            up = self.ptr[alive]
+            count = np.bincount(up[up >= 0], minlength=n)
+            leaves = alive[count[alive] == 0]
+            if len(leaves):
+                self._rake(leaves)
+                alive = alive[count[alive] > 0]
+                up = self.ptr[alive]
+                count = np.bincount(up[up >= 0], minlength=n)
+            # A unary node is spliced out if it outranks its parent and its child, so no two neighbours are.
+            only = np.full(n, -1, dtype=np.int64)
+            only[up[up >= 0]] = alive[up >= 0]
+            u = alive[count[alive] == 1]
+            c, p = only[u], self.ptr[u]
+            u = u[(c != u) & (rank[u] > rank[c]) & ((p < 0) | (rank[u] > rank[p]))]
+            if len(u):
+                self._splice(u, only[u])
+                gone = np.zeros(n, dtype=bool)
+                gone[u] = True
+                alive = alive[~gone[alive]]
+            elif not len(leaves) and (self.ptr[alive] == alive).all():
+                break
+        self.core = alive
+
+    def _rake(self, leaves: np.ndarray) -> None:
+        self.removed.append((leaves, False))
+        held = leaves[self.ptr[leaves] >= 0]
+        np.add.at(self.weight, self.ptr[held], self.weight[held] + self.between[held])
+
+    def _splice(self, u: np.ndarray, c: np.ndarray) -> None:
+        self.removed.append((u, True))
+        self.child[u] = c
+        own = self.weight[u]
+        self.weight[u] = own + self.between[c]  # also what was spliced between the node and its child
+        self.between[c] += own + self.between[u]
+        self.ptr[c], self.top[c] = self.ptr[u], self.top[u]
+        self.dist[c] += self.dist[u]
+
+    def on_cycle(self) -> np.ndarray:
+        """A spliced node lies on a cycle exactly if the child that took over does."""
+        out = np.zeros(len(self.parent), dtype=bool)
+        out[self.core] = True
+        for nodes, spliced in reversed(self.removed):
+            if spliced:
+                out[nodes] = out[self.child[nodes]]
+        return out
+
+    def expanded(self) -> tuple[np.ndarray, ...]:
+        """on_cycle, root, depth, anchor (the cycle node a node hangs from, or -1) and size of the subtree, by reversing the rounds."""
+        n = len(self.parent)
+        cycle, anchor, root, depth, size = self.on_cycle(), np.full(n, -1, dtype=np.int64), np.arange(n), np.zeros(n, dtype=np.int64), self.weight.copy()
+        for nodes, spliced in reversed(self.removed):
+            p = self.ptr[nodes]
+            held = p >= 0
+            root[nodes] = np.where(held, root[p], self.top[nodes])
+            depth[nodes] = np.where(held, depth[p] + self.dist[nodes], self.dist[nodes] - 1)
+            anchor[nodes] = np.where(held & ~cycle[nodes], np.where(cycle[p], p, anchor[p]), -1)
+            if spliced:
+                size[nodes] += size[self.child[nodes]]
+        return cycle, root, depth, anchor, size
+
+
+def _with_parents(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row's parent, or -1, and ids as an array; a place stands for a node of its own tree only."""
+    ids = part["id"].to_numpy(dtype=object)
+    tree = (part[KEYS] != part[KEYS].shift()).any(axis=1).cumsum().to_numpy()
+    codes, _ = pd.factorize(np.concatenate([ids, part["parent"].to_numpy(dtype=object)]))
+    width = int(codes.max(initial=0)) + 2
+    own = tree * width + codes[: len(ids)]
+    wanted = np.where(codes[len(ids):] >= 0, tree * width + codes[len(ids):], -1)
+    order = np.argsort(own, kind="stable")
+    at = np.minimum(np.searchsorted(own[order], wanted), max(0, len(ids) - 1))
+    return np.where(own[order][at] == wanted, order[at], -1) if len(ids) else np.zeros(0, dtype=np.int64), ids
+
+
+def _local(links: DataFrame, work: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Run ``work`` on frames of whole trees; a frame has at most about LOCAL_ROWS rows more than one tree."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            waiting.append(batch)
+            rows += len(batch)
+            if rows >= LOCAL_ROWS:
+                frame = pd.concat(waiting, ignore_index=True)
+                last = (frame[KEYS] == frame[KEYS].iloc[-1]).all(axis=1).to_numpy()
+                if not last.all():
+                    yield from work(frame[~last].reset_index(drop=True))
+                    frame = frame[last].reset_index(drop=True)
+                waiting, rows = [frame], len(frame)
+        if rows:
+            yield from work(pd.concat(waiting, ignore_index=True))
+
+    return links.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
+
+
+def _by_size(links: DataFrame, local_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links of trees of at most ``local_rows`` nodes, and those of larger ones; None if there are none."""
+    large = cut(links.groupBy(*KEYS).count().where(F.col("count") > local_rows).select(*KEYS))
+    if large.isEmpty():
+        return links, None
+    large = broadcast_if_small(large)
+    return links.join(large, KEYS, "left_anti"), cut(links.join(large, KEYS, "left_semi"))
+
+
+def cycle_nodes(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(tree_table, tree_id, id) of the nodes of :func:`parent_links` rows that lie on a cycle themselves."""
+    def work(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        parent, _ = _with_parents(part)
+        yield part.loc[Contraction(parent).on_cycle(), [*KEYS, "id"]]
+
+    small, large = _by_size(links, local_rows)
+    out = _local(small, work, "tree_table string, tree_id string, id string")
+    return out if large is None else out.unionByName(cycle_records(contract(large, paths=False)))
+
+
+TREE = (
+    "tree_table string, tree_id string, id string, parent string, status string, root string, depth int, path array<string>, n_descendants bigint, "
+    "cycle_path array<string>, ring array<string>")
+SLICE = 500_000  # path entries in a frame of results
+
+
+def _tree_rows(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    parent, ids = _with_parents(part)
+    forest = Contraction(parent)
+    cycle, root, depth, anchor, size = forest.expanded()
+    hangs = anchor >= 0
+    rings = {}
+    for core in forest.core:
+        ring, at = [core], parent[core]
+        while at != core:
+            ring.append(at)
+            at = parent[at]
+        rings[core] = ids[ring[::-1]].tolist()
+    stated = part["parent"].notna().to_numpy()
+    status = np.select([cycle, hangs, ~stated, parent < 0], ["cycle", "below_cycle", "root", "orphan"], "node")
+    # Paths from parents before children; a path is dropped once the last child has it, so few are in memory.
+    level = depth.copy()
+    for nodes, _ in reversed(forest.removed):
+        below = nodes[hangs[nodes]]
+        p = forest.ptr[below]
+        level[below] = np.where(cycle[p], 0, level[p]) + forest.dist[below]
+    level[cycle] = 0
+    order = np.argsort(level, kind="stable")
+    kept: dict[int, list[str]] = {}
+    children = np.bincount(parent[parent >= 0], minlength=len(parent))
+    rows: list[int] = []
+    paths: list[list[str]] = []
+    held = 0
+
+    def frame() -> pd.DataFrame:
+        at = np.array(rows)
+        free = [not (c or h) for c, h in zip(cycle[at], hangs[at])]
+        return pd.DataFrame({
+            **{k: part[k].to_numpy()[at] for k in KEYS}, "id": ids[at], "parent": part["parent"].to_numpy()[at], "status": status[at],
+            "root": [ids[root[i]] if f else None for i, f in zip(at, free)], "depth": pd.array([depth[i] if f else None for i, f in zip(at, free)], dtype="Int32"),
+            "path": [p if f else None for p, f in zip(paths, free)], "n_descendants": pd.array([None if cycle[i] else size[i] - 1 for i in at], dtype="Int64"),
+            "cycle_path": [None if f else p for p, f in zip(paths, free)], "ring": [rings.get(i) for i in at]})
+
+    for i in order:
+        p = parent[i]
+        if cycle[i] or p < 0:
+            path = [ids[i]]
+        else:
+            path = [*kept[p], ids[i]]
+        if not cycle[i] and p >= 0:
+            children[p] -= 1
+            if not children[p]:
+                del kept[p]
+        if children[i]:
+            kept[i] = path
+        rows.append(i)
+        paths.append(path)
+        held += len(path)
+        if held >= SLICE:
+            yield frame()
+            rows, paths, held = [], [], 0
+    if rows:
+        yield frame()
+
+
+def hierarchy(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Root, depth, path and number of descendants of every node.
+
+    Result: tree_table, tree_id, id, parent, status, root, depth, path, n_descendants,
+    cycle_path, ring.  status: 'root' (no parent given), 'orphan' (the parent does not
+    exist; the node counts as a root), 'node', 'cycle' (lies on a cycle), 'below_cycle'
+    (leads into one).  On and below cycles root, depth and path are null, as no root
+    exists; cycle_path leads from the cycle node they hang from to the node, and is null
+    elsewhere.  n_descendants of cycle nodes is null.  One node of each cycle has the
+    whole cycle in ring, every id before its child.  An empty table gives an empty result.
+    """
+    small, large = _by_size(links, local_rows)
+    out = _local(small, _tree_rows, TREE)
+    return out if large is None else out.unionByName(_distributed(large))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """All (ancestor, descendant, distance, status) rows of a :func:`hierarchy` result.
 

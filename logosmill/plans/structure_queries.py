@@ -21,8 +21,7 @@ def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracted = hierarchy.contract(tree_links(spark, sf_dir), paths=False)
-    return hierarchy.cycle_nodes(contracted).select("tree_table", "tree_id", F.col("id").alias("node_id"))
+    return hierarchy.cycle_nodes(tree_links(spark, sf_dir)).select("tree_table", "tree_id", F.col("id").alias("node_id"))
 
 
 def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,14 @@ def brute(rows):
 
 
 def check(spark, rows):
+    """Trees worked on within tasks, then the larger ones in distributed rounds."""
     links = spark.createDataFrame(rows, SCHEMA)
     want, cyc = brute(rows)
-    got = {(r.tree_table, r.tree_id, r.id): (r.status, r.root, r.depth, r.path, r.n_descendants) for r in H.hierarchy(links).collect()}
-    assert got == want
-    found = {(r.tree_table, r.tree_id, r.id) for r in H.cycle_nodes(H.contract(links, paths=False)).collect()}
-    assert found == cyc
+    for local_rows in (H.LOCAL_ROWS, 12):
+        got = {(r.tree_table, r.tree_id, r.id): (r.status, r.root, r.depth, r.path, r.n_descendants) for r in H.hierarchy(links, local_rows).collect()}
+        assert got == want
+        found = {(r.tree_table, r.tree_id, r.id) for r in H.cycle_nodes(links, local_rows).collect()}
+        assert found == cyc
 
 
 def test_chain_cycles_and_orphans(spark):
@@ -64,7 +66,7 @@ def test_random_graphs(spark, seed):
 
 def test_empty_table(spark):
     assert H.hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert H.cycle_nodes(H.contract(spark.createDataFrame([], SCHEMA), paths=False)).count() == 0
+    assert H.cycle_nodes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_links_from_dirty_rows(spark):
@@ -82,7 +84,8 @@ def test_descendants(spark):
     assert got == {("r", "b", 1), ("r", "c", 2), ("b", "c", 1)}
 
 
-def test_descendants_on_and_below_cycles(spark):
+@pytest.mark.parametrize("local_rows", [H.LOCAL_ROWS, 0])
+def test_descendants_on_and_below_cycles(spark, local_rows):
     rows = [("t", "a", "x", "z"), ("t", "a", "y", "x"), ("t", "a", "z", "y"), ("t", "a", "w", "x"), ("t", "a", "v", "w"), ("t", "a", "u", "w"), ("t", "b", "s", "s"), ("t", "b", "q", "s"), ("t", "c", "r", None), ("t", "c", "k", "r")]
     rng = random.Random(3)
     rows += [("t", str(t), str(i), str(rng.randint(0, 24))) for t in range(6) for i in range(25)]
@@ -93,10 +96,23 @@ def test_descendants_on_and_below_cycles(spark):
             seen.append(at)
             want[(*k[:2], at[2], k[2])] = len(seen) - 1
             at = (*k[:2], parent[at])
-    tree = H.hierarchy(spark.createDataFrame(rows, SCHEMA)).cache()
+    tree = H.hierarchy(spark.createDataFrame(rows, SCHEMA), local_rows).cache()
     pairs = H.descendants(tree).collect()
     assert {(r.tree_table, r.tree_id, r.ancestor, r.descendant): r.distance for r in pairs} == want and len(pairs) == len(want)
     got = {(r.ancestor, r.descendant): r.status for r in pairs if r.tree_id in "abc"}
     assert got[("w", "v")] == got[("x", "u")] == got[("z", "v")] == got[("s", "q")] == "below_cycle" and got[("y", "x")] == "cycle" and got[("r", "k")] == "tree"
     paths = {r.id: r.cycle_path for r in tree.collect() if r.tree_id in "abc"}
     assert paths["v"] == ["x", "w", "v"] and paths["q"] == ["s", "q"] and paths["z"] == ["z"] and paths["k"] is None
+
+
+def test_frames_of_many_trees_and_long_chains(spark, monkeypatch):
+    """Chains far deeper than any recursion, in frames that hold some trees each."""
+    monkeypatch.setattr(H, "LOCAL_ROWS", 50)
+    rows = [("t", "deep", f"c{i}", f"c{i - 1}" if i else None) for i in range(3000)] + [("t", "loop", f"c{i}", f"c{(i - 1) % 3000}") for i in range(3000)]
+    rows += [("t", f"s{t}", str(i), str(i // 2) if i else " ") for t in range(40) for i in range(7)]
+    links = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.tree_id, r.id): r for r in H.hierarchy(links, 5000).select("tree_id", "id", "status", "depth", "n_descendants", F.size("path").alias("n")).collect()}
+    assert got["deep", "c2999"].depth == 2999 and got["deep", "c0"].n_descendants == 2999 and got["deep", "c1500"].n == 1501
+    assert all(got["loop", f"c{i}"].status == "cycle" for i in range(3000)) and len(got) == len(rows)
+    assert all(got[f"s{t}", "1"].n_descendants == 5 and got[f"s{t}", "0"].status == "orphan" for t in range(40))
+    assert H.cycle_nodes(links, 5000).count() == 3000
