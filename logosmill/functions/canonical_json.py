@@ -33,6 +33,12 @@ def _number(x: float) -> str:
     return f"{sign}{digits}e{'+' if e > 0 else '-'}{abs(e)}"
 
 
+def _string(x: str) -> str:
+    if any("\ud800" <= c <= "\udfff" for c in x):
+        raise ValueError("lone surrogate")
+    return json.dumps(x, ensure_ascii=False)
+
+
 def canonical(x: object) -> str:
     """Sorted keys by UTF-16 units, shortest numbers, no white space."""
     if isinstance(x, bool) or x is None:
@@ -44,14 +50,18 @@ def canonical(x: object) -> str:
     if isinstance(x, float):
         return _number(x)
     if isinstance(x, str):
-        return json.dumps(x, ensure_ascii=False)
+        return _string(x)
     if isinstance(x, list):
         return "[" + ",".join(map(canonical, x)) + "]"
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be"))) + "}"
+    return "{" + ",".join(f"{_string(k)}:{canonical(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
 
 
 def canonical_column(text: Column) -> Column:
-    """Canonical form of JSON text; null for what isn't strict JSON."""
+    """Canonical form of JSON text; null for what isn't strict JSON.
+
+    Null too for repeated keys, integers out of range, lone surrogates, and nesting beyond
+    what the interpreter can follow (some hundred levels).
+    """
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(t):

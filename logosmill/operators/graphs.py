@@ -2,90 +2,133 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logosmill.operators.grouped import LOCAL_ROWS, by_size, on_whole_groups, places
 from logosmill.session import cut
 
 
-def cyclic_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cyclic_edges(edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Edges (graph_id, src, dst) on or between cycles: what trimming of ends leaves.
 
-    Every round drops edges from nodes without an incoming edge and to nodes without an
-    outgoing one.  A graph is acyclic exactly if nothing is left of it.
+    Edges from nodes without an incoming edge and to nodes without an outgoing one are
+    dropped until none is left to drop.  A graph is acyclic exactly if nothing is left of
+    it.  Graphs of at most ``local_rows`` edges are trimmed within a task, edge by edge;
+    larger ones in distributed rounds, as many as the longest chain needs.
     """
-    left = cut(edges.select("graph_id", "src", "dst").where("src is not null and dst is not null").distinct())
-    n = left.count()
-    for _ in range(max_rounds):
-        if not n:
-            break
-        into = left.select("graph_id", F.col("dst").alias("src")).distinct()
-        out = left.select("graph_id", F.col("src").alias("dst")).distinct()
-        left = cut(left.join(into, ["graph_id", "src"], "left_semi").join(out, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst"))
-        m = left.count()
-        if m == n:
-            break
+    left = edges.select("graph_id", "src", "dst").where("graph_id is not null and src is not null and dst is not null").distinct()
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema)
+
+    def trim(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        (src, dst), n = places(part, ["graph_id"], ["src", "dst"])
+        kept = np.ones(len(part), dtype=bool)
+        for a, b in ((src, dst), (dst, src)):  # ends without an incoming edge, then those without an outgoing one
+            degree = np.bincount(b[kept], minlength=n)
+            by_start = np.argsort(a, kind="stable")
+            first = np.searchsorted(a[by_start], np.arange(n + 1))
+            waiting = np.flatnonzero(degree == 0).tolist()
+            while waiting:
+                node = waiting.pop()
+                for e in by_start[first[node] : first[node + 1]]:
+                    if kept[e]:
+                        kept[e] = False
+                        degree[b[e]] -= 1
+                        if not degree[b[e]]:
+                            waiting.append(b[e])
+        yield part[kept]
+
+    small, large = by_size(left, ["graph_id"], local_rows)
+    out = on_whole_groups(small, ["graph_id"], trim, kind)
+    if large is None:
+        return out
+    n, m = -1, large.count()
+    while m != n:
         n = m
-    return left
+        into = large.select("graph_id", F.col("dst").alias("src")).distinct()
+        outof = large.select("graph_id", F.col("src").alias("dst")).distinct()
+        large = cut(large.join(into, ["graph_id", "src"], "left_semi").join(outof, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst"))
+        m = large.count()
+    return out.unionByName(large)
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node, component): the least node reachable, ignoring direction.
 
-    Labels spread to neighbours and then along labels themselves, so the number of
-    rounds grows with the logarithm of the diameter.
+    Labels spread to neighbours and then along labels themselves, until none moves; the
+    number of rounds grows with the logarithm of the diameter.
     """
     both = cut(edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("graph_id", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
     state = cut(nodes.select("graph_id", "node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    moving = True
+    while moving:
         near = both.join(state.select("graph_id", F.col("node").alias("b"), F.col("component").alias("c")), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = state.join(near, ["graph_id", "node"], "left").select("graph_id", "node", F.least("component", F.coalesce("c", "component")).alias("n"), "component")
         hop = step.select("graph_id", F.col("node").alias("n"), F.col("n").alias("m"))
         new = cut(step.join(hop, ["graph_id", "n"], "left").select("graph_id", "node", F.least("n", F.coalesce("m", "n")).alias("component"), (F.least("n", F.coalesce("m", "n")) != F.col("component")).alias("moved")))
         state = new.select("graph_id", "node", "component")
-        if new.where("moved").isEmpty():
-            break
+        moving = not new.where("moved").isEmpty()
     return state
 
 
 def members(units: DataFrame) -> DataFrame:
-    """(graph_id, unit, member): elementary members of complex units (graph_id, unit, members), nested ones opened."""
+    """(graph_id, unit, member): elementary members of complex units (graph_id, unit, members), nested ones opened.
+
+    A round opens one more level, and only pairs not seen before go on, so units that
+    contain each other come to an end as well.
+    """
     top = cut(units.select("graph_id", "unit", F.explode("members").alias("m")).distinct())
     inner = top.select("graph_id", F.col("unit").alias("m"), F.col("m").alias("next"))
     seen = level = top
-    for _ in range(100):
+    while not level.isEmpty():
         level = cut(level.join(inner, ["graph_id", "m"]).select("graph_id", "unit", F.col("next").alias("m")).distinct().join(seen, ["graph_id", "unit", "m"], "left_anti"))
-        if level.isEmpty():
-            break
         seen = cut(seen.unionByName(level))
     return seen.join(units.select("graph_id", F.col("unit").alias("m")), ["graph_id", "m"], "left_anti").select("graph_id", "unit", F.col("m").alias("member")).distinct()
 
 
 def frontier(units: list[str], relations: list[tuple[str, str, bool]], complex_units: dict[str, list[str]]) -> list[str]:
-    """Units that attach from outside the right frontier, in order.
+    """Units, but for the first, that nothing on the right frontier attaches, in order.
 
     ``relations``: (source, target, subordinating).  The frontier before a unit is the one
-    before it, closed over the sources that subordinate it and complex units ending in it.
+    before it, closed over the sources that subordinate a member of it and over complete
+    complex units that hold one; complete is what has all its elementary members earlier.
     """
     order = {u: i for i, u in enumerate(units)}
-
-    def last(u: str, seen: frozenset = frozenset()) -> int:
-        if u in order or u in seen:
-            return order.get(u, -1)
-        return max((last(m, seen | {u}) for m in complex_units.get(u, ())), default=-1)
-
+    complete_at: dict[str, float] = {}
+    for name in complex_units:  # nested ones are opened with a stack; one that holds itself is opened once
+        last, opened, waiting = -1.0, {name}, list(complex_units[name])
+        while waiting:
+            m = waiting.pop()
+            if m in complex_units:
+                if m not in opened:
+                    opened.add(m)
+                    waiting += complex_units[m]
+            else:
+                last = max(last, order.get(m, float("inf")))
+        complete_at[name] = last
+    above: dict[str, list[str]] = {}
+    for source, target, subordinating in relations:
+        if subordinating:
+            above.setdefault(target, []).append(source)
+    for name, inside in complex_units.items():
+        for m in inside:
+            above.setdefault(m, []).append(name)
+    into: dict[str, list[str]] = {}
+    for source, target, _ in relations:
+        into.setdefault(target, []).append(source)
     bad = []
     for i in range(1, len(units)):
-        open_ = {units[i - 1]}
-        while True:
-            more = {s for s, t, sub in relations if sub and t in open_ and last(s) < i}
-            more |= {c for c, ms in complex_units.items() if set(ms) & open_ and last(c) == i - 1}
-            if more <= open_:
-                break
-            open_ |= more
-        into = [s for s, t, _ in relations if t == units[i] and last(s) < i]
-        if into and not any(s in open_ for s in into):
+        known = lambda u: order.get(u, complete_at.get(u, float("inf"))) < i  # noqa: B023, E731
+        on, waiting = {units[i - 1]}, [units[i - 1]]
+        while waiting:
+            fresh = {u for u in above.get(waiting.pop(), ()) if known(u)} - on
+            on |= fresh
+            waiting += fresh
+        if not any(s in on for s in into.get(units[i], ())):
             bad.append(units[i])
     return bad
 

@@ -22,7 +22,7 @@ rounds, each of which is a few joins and a written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logosmill.session import broadcast_if_small, cut
+from logosmill.operators.grouped import LOCAL_ROWS, by_size, on_whole_groups
+from logosmill.session import cut
 
 KEYS = ["tree_table", "tree_id"]
-LOCAL_ROWS = 100_000  # nodes of a tree that one task works on
 
 
 def parent_links(
@@ -308,44 +308,14 @@ def _with_parents(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.where(own[order][at] == wanted, order[at], -1) if len(ids) else np.zeros(0, dtype=np.int64), ids
 
 
-def _local(links: DataFrame, work: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Run ``work`` on frames of whole trees; a frame has at most about LOCAL_ROWS rows more than one tree."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-        rows = 0
-        for batch in batches:
-            waiting.append(batch)
-            rows += len(batch)
-            if rows >= LOCAL_ROWS:
-                frame = pd.concat(waiting, ignore_index=True)
-                last = (frame[KEYS] == frame[KEYS].iloc[-1]).all(axis=1).to_numpy()
-                if not last.all():
-                    yield from work(frame[~last].reset_index(drop=True))
-                    frame = frame[last].reset_index(drop=True)
-                waiting, rows = [frame], len(frame)
-        if rows:
-            yield from work(pd.concat(waiting, ignore_index=True))
-
-    return links.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
-
-
-def _by_size(links: DataFrame, local_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links of trees of at most ``local_rows`` nodes, and those of larger ones; None if there are none."""
-    large = cut(links.groupBy(*KEYS).count().where(F.col("count") > local_rows).select(*KEYS))
-    if large.isEmpty():
-        return links, None
-    large = broadcast_if_small(large)
-    return links.join(large, KEYS, "left_anti"), cut(links.join(large, KEYS, "left_semi"))
-
-
 def cycle_nodes(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(tree_table, tree_id, id) of the nodes of :func:`parent_links` rows that lie on a cycle themselves."""
     def work(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         parent, _ = _with_parents(part)
         yield part.loc[Contraction(parent).on_cycle(), [*KEYS, "id"]]
 
-    small, large = _by_size(links, local_rows)
-    out = _local(small, work, "tree_table string, tree_id string, id string")
+    small, large = by_size(links, KEYS, local_rows)
+    out = on_whole_groups(small, KEYS, work, "tree_table string, tree_id string, id string", LOCAL_ROWS)
     return out if large is None else out.unionByName(cycle_records(contract(large, paths=False)))
 
 
@@ -425,8 +395,8 @@ def hierarchy(links: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     elsewhere.  n_descendants of cycle nodes is null.  One node of each cycle has the
     whole cycle in ring, every id before its child.  An empty table gives an empty result.
     """
-    small, large = _by_size(links, local_rows)
-    out = _local(small, _tree_rows, TREE)
+    small, large = by_size(links, KEYS, local_rows)
+    out = on_whole_groups(small, KEYS, _tree_rows, TREE, LOCAL_ROWS)
     return out if large is None else out.unionByName(_distributed(large))
 
 

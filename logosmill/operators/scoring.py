@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -80,10 +81,14 @@ def soft_matches(gold: DataFrame, pred: DataFrame, unit: str, threshold: float =
     augmentation depends on all earlier ones.
     """
     def most(golds, preds) -> int:
+        # A pair that overlaps enough shares more than a sliver: by begin, only a stretch of the other side can.
+        begins = [c for c, _ in preds]  # sorted
+        longest = max((d - c for c, d in preds), default=0)
         edges = []
         for a, b in golds:
             row = []
-            for k, (c, d) in enumerate(preds):
+            for k in range(bisect_left(begins, a - longest), bisect_right(begins, b)):
+                c, d = preds[k]
                 inter = max(0, min(b, d) - max(a, c))
                 whole = (b - a) + (d - c) - inter
                 if whole > 0 and inter / whole >= threshold:
@@ -91,16 +96,30 @@ def soft_matches(gold: DataFrame, pred: DataFrame, unit: str, threshold: float =
             edges.append(row)
         owner: dict[int, int] = {}
 
-        def grow(i: int, seen: set[int]) -> bool:
-            for k in edges[i]:
-                if k not in seen:
-                    seen.add(k)
-                    if k not in owner or grow(owner[k], seen):
-                        owner[k] = i
-                        return True
+        def grow(first: int) -> bool:
+            """Find an augmenting path from a free span, and swap along it; ``came`` tells how each other span was reached."""
+            came: dict[int, int] = {}
+            waiting = [first]
+            while waiting:
+                i = waiting.pop()
+                for k in edges[i]:
+                    if k in came:
+                        continue
+                    came[k] = i
+                    if k in owner:
+                        waiting.append(owner[k])
+                        continue
+                    while True:
+                        i = came[k]
+                        given_up = held.get(i)
+                        owner[k], held[i] = i, k
+                        if given_up is None:
+                            return True
+                        k = given_up
             return False
 
-        return sum(grow(i, set()) for i in range(len(edges)))
+        held: dict[int, int] = {}
+        return sum(grow(i) for i in range(len(edges)))
 
     @F.pandas_udf("bigint")
     def matched(g0: pd.Series, g1: pd.Series, p0: pd.Series, p1: pd.Series) -> pd.Series:

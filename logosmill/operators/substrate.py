@@ -218,11 +218,12 @@ def opening_cues(documents: DataFrame, rules: list[tuple[str, str, str]], key: s
     for language, cues in by.items():
         cjk = any("\u4e00" <= c <= "\u9fff" for cue in cues for c in cue)
         end = "" if cjk else r"(?![\p{L}\p{N}_])"
-        opener = r"(?<=(?:^|[;,.!?，。；、])\s{0,40})"
+        opener = r"(?:^|[;,.!?，。；、])\s*"
         own = documents if lang is None else documents.where(F.lower(F.substring(lang, 1, 2)) == language)
         low = own.select(key, folded(F.col(text)).alias("_low"))
         found = occurrences(low, f"{opener}(?:{cue_pattern([c.lower() for c in cues])}){end}", key, "_low")
-        parts.append(found.select(key, F.lit(language).alias("language"), F.col("found").alias("cue"), "start_pos"))
+        cue = F.regexp_replace("found", r"^[;,.!?，。；、]?\s*", "")
+        parts.append(found.select(key, F.lit(language).alias("language"), cue.alias("cue"), (F.col("stop_pos") - F.length(cue)).alias("start_pos")))
     table = spark.createDataFrame([(a, b.lower(), c) for a, b, c in rules], "language string, cue string, relation string")
     return reduce(DataFrame.unionByName, parts).join(F.broadcast(table), ["language", "cue"]).select(key, "language", "cue", "relation", "start_pos")
 

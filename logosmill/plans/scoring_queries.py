@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +15,16 @@ def _labels(df: DataFrame, shift: int) -> DataFrame:
 
 def brackets(spark, d) -> tuple[DataFrame, DataFrame]:
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.countDistinct("l_linenumber").cast("int").alias("n"))
-    level = n.select("doc_id", F.lit(1).alias("s"), F.col("n").alias("e"))
-    levels = [level]
-    for _ in range(3):  # at most seven lines
-        m = F.floor((F.col("s") + F.col("e")) / 2).cast("int")
-        level = level.where("s < e").select("doc_id", F.explode(F.array(F.struct(F.col("s").alias("s"), m.alias("e")), F.struct((m + 1).alias("s"), F.col("e").alias("e")))).alias("x")).select("doc_id", "x.s", "x.e")
-        levels.append(level)
-    gold = reduce(DataFrame.unionByName, levels)
+    # Halves of halves, level by level: spans of all sizes of an order come from one fold over its levels.
+    span = "array<struct<s:int,e:int>>"
+    halves = lambda x: F.when(x["s"] < x["e"], F.array(
+        F.struct(x["s"].alias("s"), F.floor((x["s"] + x["e"]) / 2).cast("int").alias("e")),
+        F.struct((F.floor((x["s"] + x["e"]) / 2) + 1).cast("int").alias("s"), x["e"].alias("e")))).otherwise(F.array().cast(span))
+    first = F.array(F.struct(F.lit(1).alias("s"), F.col("n").alias("e")))
+    step = lambda acc, _: F.struct(F.concat(acc["all"], F.flatten(F.transform(acc["last"], halves))).alias("all"), F.flatten(F.transform(acc["last"], halves)).alias("last"))
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n"))).cast("int")))
+    spans = F.aggregate(levels, F.struct(first.alias("all"), first.alias("last")), step, lambda acc: acc["all"])
+    gold = n.where("n > 0").select("doc_id", F.explode(spans).alias("x")).select("doc_id", "x.s", "x.e")
     right = n.select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
     pred = right.select("doc_id", "s", F.col("n").alias("e")).unionByName(right.where("s < n").select("doc_id", "s", F.col("s").alias("e")))
     return _labels(gold, 0), _labels(pred, 1)

@@ -106,6 +106,13 @@ el AS (SELECT record_id, collection, e, e->>'$.self_ref' AS self_ref FROM elemen
 
 ORACLES = {
     "p4_found": f"WITH RECURSIVE {_LINKS}, {_UP} SELECT tree_table, tree_id, id AS node_id FROM cyc",
+    "p4_hierarchy": f"""WITH RECURSIVE {_LINKS}, {_DOWN}, {_UP},
+below AS (SELECT tree_table, tree_id, cur AS id, count(*) AS n FROM up WHERE NOT list_contains(seen, cur) GROUP BY 1, 2, 3),
+hung AS (SELECT u.tree_table, u.tree_id, u.id, arg_min(list_prepend(u.cur, list_reverse(u.seen)), len(u.seen)) AS p
+  FROM up u JOIN cyc c ON c.tree_table = u.tree_table AND c.tree_id = u.tree_id AND c.id = u.cur GROUP BY 1, 2, 3)
+SELECT l.tree_table, l.tree_id, l.id AS node_id, CASE WHEN c.id IS NOT NULL THEN 'cycle' WHEN h.id IS NOT NULL THEN 'below_cycle' ELSE d.status END AS status, d.root, d.depth,
+  array_to_string(d.path, ' > ') AS path, CASE WHEN c.id IS NULL THEN coalesce(b.n, 0) END AS n_descendants, CASE WHEN c.id IS NOT NULL THEN l.id ELSE array_to_string(h.p, ' > ') END AS cycle_path
+FROM links l LEFT JOIN down d USING (tree_table, tree_id, id) LEFT JOIN cyc c USING (tree_table, tree_id, id) LEFT JOIN below b USING (tree_table, tree_id, id) LEFT JOIN hung h USING (tree_table, tree_id, id)""",
     "p4_descendants": f"WITH RECURSIVE {_LINKS}, {_DOWN}, {_PAIRS} SELECT tree_table, tree_id, ancestor, descendant, CAST(depth - lvl AS BIGINT) AS distance FROM pairs WHERE lvl < depth",
     "p4_cycle_descendants": f"""WITH RECURSIVE {_LINKS}, {_UP}, shut AS (SELECT DISTINCT tree_table, tree_id, id FROM up WHERE list_contains(seen, cur))
 SELECT u.tree_table, u.tree_id, u.cur AS ancestor, u.id AS descendant, CAST(len(u.seen) AS BIGINT) AS distance, CASE WHEN c.id IS NULL THEN 'below_cycle' ELSE 'cycle' END AS status

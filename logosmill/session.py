@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,18 @@ _SCRATCH: set[str] = set()
 def checkpoint_dir(spark: SparkSession) -> str:
     """Make sure the session has a checkpoint folder and return it.
 
-    The cluster's shared folder in ``spark.checkpoint.dir`` is used as it is.
-    Only where that setting is absent (tests, a laptop) a temporary folder is made.
+    The cluster's shared folder in ``spark.checkpoint.dir`` is used as it is.  Only a
+    local master may do without that setting; it gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logosmill-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
+        path = tempfile.mkdtemp(prefix="logosmill-checkpoint-")
     sc.setCheckpointDir(path)
     return path
 
@@ -63,9 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged.
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` in all, as JSON, else unchanged.
 
-    The count stops after ``max_rows + 1`` rows, so a large side costs little to check.
+    The check stops after ``max_rows + 1`` rows, so a large side costs little.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
+    n, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= max_rows and (held or 0) <= max_bytes else df

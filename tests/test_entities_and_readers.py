@@ -32,11 +32,30 @@ def test_centering_with_pronouns(spark):
     assert score["coherent"] > score["disjoint"] and set(score) == set(TEXTS)
 
 
-def test_entity_keys_alike_in_both_engines(spark):
-    names = ["the Policies", "Every bus", "cars", "of the", "", "a glass", "Analysis", "ties", "the of Red Kites", "gas"]
-    df = spark.createDataFrame([(n,) for n in names], "s string")
-    got = [tuple(r.k) for r in df.select(E.entity_key(F.col("s")).alias("k")).collect()]
-    assert got == [E._key(n) for n in names]
+def test_entity_keys(spark):
+    want = {"the Policies": ("policy", True), "Every bus": ("bus", False), "cars": ("car", True), "of the": ("", False), "": ("", False), "a glass": ("glass", False),
+            "Analysis": ("analysis", False), "ties": ("tie", True), "the of Red Kites": ("red kite", True), "gas": ("gas", False)}
+    df = spark.createDataFrame([(n,) for n in want], "s string")
+    assert {r.s: tuple(r.k) for r in df.select("s", E.entity_key(F.col("s")).alias("k")).collect()} == want
+
+
+def test_mentions_by_rule(spark):
+    texts = {
+        "roles": "Marie Curie showed the results to the committee.", "pronouns": "The engineers visited Anna. They thanked her. It rained.", "gap": "Elena left.  \n\nNobody came. She slept.",
+        "none": None, "blank": " \n ", "number": "The policies failed. A bridge failed. It held them.", "named": "we saw big red kites over it. They left."}
+    df = spark.createDataFrame([*texts.items(), (None, "Elena left.")], "doc_id string, text string").withColumn("u", F.lit(7))
+    names = spark.createDataFrame([("named", 7, 20)], "doc_id string, start_pos bigint, stop_pos bigint")
+    got = {}
+    for r in E.document_mentions(df, names=names).orderBy("doc_id", "u", "start_pos").collect():
+        got.setdefault(r.doc_id, []).append((r.u, r.entity, r.role, r.start_pos, r.stop_pos, r.is_pronoun))
+    assert got["roles"] == [(0, "marie curie", "S", 0, 11, False), (0, "result", "O", 23, 30, False), (0, "committee", "O", 38, 47, False)]
+    assert got["pronouns"][:2] == [(0, "engineer", "S", 4, 13, False), (0, "anna", "O", 22, 26, False)]
+    assert [m[1:3] + m[5:] for m in got["pronouns"][2:]] == [("engineer", "S", True), ("anna", "O", True), ("anna", "S", True)]
+    assert [m[:2] for m in got["gap"]] == [(0, "elena")]  # nothing in the utterance before the pronoun
+    assert [m[1] for m in got["number"] if m[5]] == ["bridge", "bridge"]
+    assert got["named"] == [(0, "big red kite", "S", 7, 20, False), (1, "big red kite", "S", 30, 34, True)]
+    assert set(got) <= {"roles", "pronouns", "gap", "number", "named"}
+    assert E.document_mentions(df.limit(0)).count() == 0
 
 
 def test_relation_contracts(spark):
