@@ -1,19 +1,25 @@
 """Abstract argumentation frameworks: semantics, predicates, validation, compilers.
 
-A framework is given by rows (af_id, arg, ord) and (af_id, src, dst).  Up to 62
-arguments it becomes one row of bit masks, and all semantics are expressions on longs
-inside the JVM.  Larger frameworks go through :func:`extensions_large`.
+A framework is given by rows (af_id, arg, ord) and (af_id, src, dst).
+:func:`extensions` gives its semantics whatever its size: up to 62 arguments, of which
+at most 12 are open after the grounded extension, it becomes one row of bit masks and
+all is expressions on longs inside the JVM; other frameworks go through
+:func:`extensions_large`.  The functions on masks raise an error beyond their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logosmill.session import broadcast_if_small, cut
+
 MASK_LIMIT = 62
+OPEN_LIMIT = 12  # open arguments of which all subsets are tried
 ARGUMENT_LIMIT, EXTENSION_LIMIT = 128, 4096  # fixed values: capacities of the exact kernel
 
 
@@ -39,8 +45,17 @@ def cleaned(args: DataFrame, attacks: DataFrame) -> DataFrame:
 
 
 def masks(args: DataFrame, attacks: DataFrame) -> DataFrame:
-    """(af_id, n, names, att): att[i] holds the attackers of argument i as bits, in order of ``ord``."""
-    numbered = args.withColumn("i", F.row_number().over(Window.partitionBy("af_id").orderBy("ord", "arg")) - 1)
+    """(af_id, n, names, att): att[i] holds the attackers of argument i as bits, in order of ``ord``.
+
+    A framework of more than MASK_LIMIT arguments is an error.
+    """
+    out = _masks(args, attacks)
+    wrong = F.raise_error(F.format_string("framework %s has %s arguments: too many for masks, see extensions()", F.col("af_id").cast("string"), F.col("n").cast("string")))
+    return out.withColumn("att", F.when(F.col("n") > MASK_LIMIT, wrong).otherwise(F.col("att")))
+
+
+def _masks(args: DataFrame, attacks: DataFrame) -> DataFrame:
+    numbered = args.select("af_id", "arg", "ord").groupBy("af_id", "arg").agg(F.min("ord").alias("ord")).withColumn("i", F.row_number().over(Window.partitionBy("af_id").orderBy("ord", "arg")) - 1)
     ids = numbered.select("af_id", "arg", "i")
     into = attacks.join(ids.select("af_id", F.col("arg").alias("src"), F.col("i").alias("s")), ["af_id", "src"]).groupBy(
         "af_id", F.col("dst").alias("arg")).agg(F.bit_or(_bit(F.col("s"))).alias("m"))
@@ -77,15 +92,20 @@ def grounded(frameworks: DataFrame) -> DataFrame:
     return frameworks.withColumn("in_mask", least).withColumn("out_mask", attacked(F.col("in_mask"), n, att))
 
 
+def _with_open(frameworks: DataFrame) -> DataFrame:
+    open_ids = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _bit(i).bitwiseAND(F.col("in_mask").bitwiseOR(F.col("out_mask"))) == 0)
+    return grounded(frameworks).withColumn("open_ids", open_ids)
+
+
 def complete(frameworks: DataFrame) -> DataFrame:
     """One row per complete extension (``ext`` mask): only what grounded leaves open is enumerated.
 
-    For frameworks with up to 20 open arguments; see :func:`extensions_large` beyond.
+    More than 20 open arguments are an error; :func:`extensions` searches instead from 12 on.
     """
     n, att = F.col("n"), F.col("att")
-    g = grounded(frameworks)
-    open_ids = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _bit(i).bitwiseAND(F.col("in_mask").bitwiseOR(F.col("out_mask"))) == 0)
-    g = g.withColumn("open_ids", open_ids)
+    wrong = F.raise_error(F.format_string("framework %s leaves more than 20 arguments open, see extensions()", F.col("af_id").cast("string")))
+    g = _with_open(frameworks) if "open_ids" not in frameworks.columns else frameworks
+    g = g.withColumn("open_ids", F.when(F.size("open_ids") > 20, wrong).otherwise(F.col("open_ids")))
     sets = g.withColumn("pick", F.explode(F.sequence(_zero(), _bit(F.size("open_ids")) - 1)))
     spread = F.aggregate(
         F.sequence(F.lit(0), F.size("open_ids")), F.col("in_mask"),
@@ -122,6 +142,32 @@ def named(mask: Column, names: str = "names") -> Column:
     return F.filter(names, lambda _, i: _bit(i).bitwiseAND(mask) != 0)
 
 
+def extensions(args: DataFrame, attacks: DataFrame, kinds: tuple[str, ...] = ("grounded", "complete", "preferred", "stable")) -> DataFrame:
+    """(af_id, semantics, members) of frameworks of any size, each by the way that suits it.
+
+    A framework over the capacities of the exact kernel gives one row with semantics
+    'capacity_exceeded'; one without arguments gives none.
+    """
+    all_ = _masks(args, attacks)
+    fits = cut(_with_open(all_.where(F.col("n") <= MASK_LIMIT)))
+    easy = fits.where(F.size("open_ids") <= OPEN_LIMIT)
+    hard = cut(args.groupBy("af_id").agg(F.countDistinct("arg").alias("n")).where(F.col("n") > MASK_LIMIT).select("af_id").unionByName(
+        fits.where(F.size("open_ids") > OPEN_LIMIT).select("af_id")))
+    rows = lambda df, kind, mask: df.select(F.col("af_id").cast("string").alias("af_id"), F.lit(kind).alias("semantics"), named(F.col(mask)).alias("members"))
+    parts = []
+    if "grounded" in kinds:
+        parts.append(rows(easy, "grounded", "in_mask"))
+    if set(kinds) - {"grounded"}:
+        all_complete = complete(easy)
+        found = {"complete": lambda: all_complete, "preferred": lambda: preferred(all_complete), "stable": lambda: stable(all_complete)}
+        parts += [rows(make(), kind, "ext") for kind, make in found.items() if kind in kinds]
+    if not hard.isEmpty():
+        known = broadcast_if_small(hard)
+        large = extensions_large(args.join(known, "af_id", "left_semi"), attacks.join(known, "af_id", "left_semi"))
+        parts.append(large.where(F.col("semantics").isin(*kinds, "capacity_exceeded")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def extensions_large(args: DataFrame, attacks: DataFrame) -> DataFrame:
     """(af_id, semantics, members) by backtracking, for frameworks beyond the masks.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logosmill.operators import hierarchy as H
-from logosmill.operators.substrate import TOKEN, folded
-from logosmill.session import broadcast_if_small
 
 
 def greedy_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,47 +27,121 @@ def greedy_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(folded_.alias("_kept")).select(*keys, F.explode("_kept").alias("_r")).select(*keys, "_r.*")
 
 
-def _positions(documents: DataFrame, key: str) -> DataFrame:
-    """(key, i, token, start_pos, stop_pos) of all tokens of folded text."""
-    low = folded(F.col("text"))
-    each = documents.select(key, F.posexplode(F.arrays_zip(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), F.lit(1)).alias("t"), F.transform(F.split(low, TOKEN, -1), F.length).alias("gap"))).alias("i", "x"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(F.col("x.gap") + F.coalesce(F.length("x.t"), F.lit(0))).over(w)
-    out = each.select(key, "i", F.col("x.t").alias("token"), stop.alias("stop_pos")).where("token is not null")
-    return out.withColumn("start_pos", F.col("stop_pos") - F.length("token"))
-
-
-def link_concepts(documents: DataFrame, index: DataFrame, key: str = "doc_id", veto_window: int = 25) -> DataFrame:
-    """(key, start_pos, stop_pos, surface, curies, resolution) of index entries found in texts.
+INDEX_LIMIT = 64 << 20  # characters of an index that is broadcast
+NEGATIVE_WINDOW = 25  # fixed value: tokens on either side in which a negative phrase vetoes
+_CONTEXT_TOKEN = re.compile(r"[A-Za-z0-9_.+-]+")  # fixed value
+
+
+def _fold(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _holds(window: str, phrases: list[str]) -> bool:
+    """Whether a phrase stands in ``window`` with no letter or digit beside it."""
+    for phrase in phrases:
+        at = window.find(phrase)
+        while at >= 0:
+            stop = at + len(phrase)
+            if not (window[at - 1 : at].isalnum() or window[stop : stop + 1].isalnum()):
+                return True
+            at = window.find(phrase, at + 1)
+    return False
+
+
+class ConceptScan:
+    """The entries of an index by folded surface, and what of them a text mentions."""
+
+    def __init__(self, entries: list[dict]):
+        self.entries: dict[str, list[dict]] = {}
+        for e in entries:
+            lower = lambda ps: [p.lower() for p in ps or [] if p]
+            self.entries.setdefault(_fold(e["surface"]), []).append(e | {"anchors": lower(e["anchors"]), "negative": lower(e["negative"])})
+        self.machine = None
+
+    def places(self, low: str) -> Iterator[tuple[int, str]]:
+        """(start, surface) of all occurrences, overlapping ones included."""
+        if self.machine is None:
+            import ahocorasick
+
+            self.machine = ahocorasick.Automaton()
+            for surface in self.entries:
+                self.machine.add_word(surface, surface)
+            self.machine.make_automaton()
+        if self.entries:
+            for last, surface in self.machine.iter(low):
+                yield last - len(surface) + 1, surface
+
+    def mentions(self, text: str) -> list[tuple[int, int, list[str], bool]]:
+        """(start, stop, concepts, undecided) of the mentions chosen: by start, longer first, none overlapping the one before."""
+        low, tokens = _fold(text), None
+        spans: dict[tuple[int, int], tuple[set[str], list[bool]]] = {}
+        for start, surface in self.places(low):
+            stop = start + len(surface)
+            after = text[stop : stop + 2]
+            if text[max(0, start - 1) : start].isalnum() or after[:1].isalnum() or (after[:1] == "." and after[1:].isalnum()):
+                continue
+            if start >= 2 and text[start - 1] == "-" and text[start - 2].isalnum():
+                continue
+            for e in self.entries[surface]:
+                if (e["case_sensitive"] or e["match_policy"] == "case_exact") and text[start:stop] != e["surface"]:
+                    continue
+                if e["negative"] or e["match_policy"] == "context_anchored":
+                    if tokens is None:
+                        tokens = [m.span() for m in _CONTEXT_TOKEN.finditer(text)]
+                    left, right = bisect_right(tokens, start, key=lambda t: t[1]), bisect_left(tokens, stop, key=lambda t: t[0])
+                    near = tokens[max(0, left - NEGATIVE_WINDOW) : max(right, left) + NEGATIVE_WINDOW]
+                    if e["negative"] and _holds(low[min([start, *(a for a, _ in near[:1])]) : max([stop, *(b for _, b in near[-1:])])], e["negative"]):
+                        continue
+                    if e["match_policy"] == "context_anchored":
+                        n = e["anchor_window"]
+                        words = lambda part: " ".join(text[a:b] for a, b in part)
+                        if not _holds(f"{words(tokens[max(0, left - n) : left])} {words(tokens[right : right + n])}".lower(), e["anchors"]):
+                            continue
+                found = spans.setdefault((start, stop), (set(), []))
+                found[0].add(e["curie"])
+                found[1].append(bool(e.get("undecided")))
+        chosen, last = [], -1
+        for start, stop in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if start >= last:
+                curies, undecided = spans[start, stop]
+                chosen.append((start, stop, sorted(curies), len(curies) > 1 or any(undecided)))
+                last = stop
+        return chosen
+
+
+def link_concepts(documents: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start_pos, stop_pos, surface, curies, resolution) of index entries mentioned in texts.
 
     ``index``: curie, surface, case_sensitive, match_policy, anchors array, negative array,
-    anchor_window.  Surfaces are matched as token sequences, so boundaries are those of
-    tokens; overlapping matches are filtered first, then chosen greedily.  A match falls to
-    a negative phrase near by, and a context-anchored one needs an anchor in its window.
-    Several entries on one surface make it ambiguous.
+    anchor_window, and optionally undecided (a mention needs a decision from elsewhere).
+    A surface is bounded by what is no letter or digit, not followed by a dot and a letter
+    or digit, and not preceded by a hyphened word.  A negative phrase near by vetoes, a
+    context-anchored entry needs an anchor in its window of tokens outside the match.
+    Several concepts, or an undecided one, make a mention ambiguous.  Null keys and texts,
+    entries without a surface, and never_link entries give nothing.
+
+    One pass of a multi-pattern automaton over each text, in Arrow batches: nothing is
+    shuffled.  The index is broadcast; its size is checked.
     """
-    words = F.regexp_extract_all(F.lower("surface"), F.lit(f"({TOKEN})"), F.lit(1))
-    entries = index.where("match_policy <> 'never_link'").withColumn("words", words).withColumn("n", F.size("words")).withColumn("first", F.get("words", F.lit(0)))
-    tokens = _positions(documents, key)
-    most = entries.agg(F.max("n")).first()[0] or 1
-    w = Window.partitionBy(key).orderBy("i")
-    phrase = tokens.withColumn("ahead", F.collect_list(F.struct("token", "stop_pos")).over(w.rowsBetween(0, most - 1)))
-    hit = phrase.join(broadcast_if_small(entries), F.col("token") == F.col("first")).where(F.slice(F.col("ahead.token"), F.lit(1), F.col("n")) == F.col("words"))
-    hit = hit.withColumn("stop_pos", F.get("ahead.stop_pos", F.col("n") - 1)).drop("ahead", "token")
-    text = documents.select(key, "text", folded(F.col("text")).alias("low"))
-    hit = hit.join(text, key)
-    cut_ = F.expr("substring(text, start_pos + 1, stop_pos - start_pos)")
-    prev, nxt = F.expr("substring(text, start_pos, 1)"), F.expr("substring(text, stop_pos + 1, 2)")
-    edges = ~nxt.rlike(r"^[._-]?[\p{L}\p{N}_]") & ~(prev.rlike(r"^[\p{L}\p{N}_.-]$") & (F.col("start_pos") > 0))
-    near = lambda n: F.concat(F.lit(" "), F.expr(f"substring(low, greatest(1, start_pos + 1 - {n} * 8), least(start_pos, {n} * 8))"), F.lit(" "), F.expr(f"substring(low, stop_pos + 1, {n} * 8)"), F.lit(" "))
-    around, veto_zone = near("anchor_window"), near(str(veto_window))
-    veto = F.exists("negative", lambda p: F.instr(veto_zone, F.lower(p)) > 0)
-    anchored = (F.col("match_policy") != "context_anchored") | F.exists("anchors", lambda p: F.instr(around, F.lower(p)) > 0)
-    exact = ~F.col("case_sensitive") | (cut_ == F.col("surface"))
-    ok = hit.where(edges & ~F.coalesce(veto, F.lit(False)) & F.coalesce(anchored, F.lit(False)) & exact)
-    spans = ok.groupBy(key, "start_pos", "stop_pos").agg(F.min(cut_).alias("surface"), F.array_join(F.sort_array(F.collect_set("curie")), ",").alias("curies"), F.countDistinct("curie").alias("c"))
-    kept = greedy_spans(spans, [key])
-    return kept.select(key, "start_pos", "stop_pos", "surface", "curies", F.when(F.col("c") == 1, "unique").otherwise("ambiguous").alias("resolution"))
+    wanted = index.where("match_policy <> 'never_link' and trim(surface) <> ''")
+    size = wanted.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size > INDEX_LIMIT:
+        raise ValueError(f"an index of {size} characters is too large to broadcast; link its domains one by one")
+    scan = documents.sparkSession.sparkContext.broadcast(ConceptScan([r.asDict(recursive=True) for r in wanted.collect()]))
+
+    @F.pandas_udf("array<struct<start_pos:int,stop_pos:int,curies:array<string>,open:boolean>>")
+    def find(texts: pd.Series) -> pd.Series:
+        names = ("start_pos", "stop_pos", "curies", "open")
+        return texts.map(lambda t: [dict(zip(names, m)) for m in scan.value.mentions(t)])
+
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_t"))
+    found = rows.withColumn("_f", find("_t"))
+    cut_ = F.transform("_f", lambda m: F.struct(
+        m["start_pos"].alias("start_pos"), m["stop_pos"].alias("stop_pos"), F.substring(F.col("_t"), m["start_pos"] + 1, m["stop_pos"] - m["start_pos"]).alias("surface"),
+        F.array_join(m["curies"], ",").alias("curies"), F.when(m["open"], "ambiguous").otherwise("unique").alias("resolution")))
+    return found.select(key, F.inline(cut_))
 
 
 def enclosing(cues: DataFrame, nodes: DataFrame, key: str) -> DataFrame:

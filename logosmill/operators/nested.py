@@ -12,7 +12,9 @@ contains its own, and the link table comes from that containment alone.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,11 +42,98 @@ def _target(x: object) -> str | None:
     return x.strip() if isinstance(x, str) else None
 
 
+_SPACE, _SCALAR = re.compile(r"[ \t\n\r]*"), re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
+
+
+def loads_deep(text: str) -> object:
+    """The value of JSON text of any depth, read with a stack; ValueError if it is not JSON."""
+    skip = lambda at: _SPACE.match(text, at).end()
+    holders: list[list] = []  # open arrays and objects: [container, key that waits for its value]
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            made: object = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                holders.append([made, None])
+                if c == "{":
+                    holders[-1][1], at = _key(text, at, skip)
+                continue
+            at += 1
+        elif c == '"':
+            made, at = scanstring(text, at + 1, True)
+        elif m := _SCALAR.match(text, at):
+            made, at = json.loads(m[0]), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        # The value is complete: it goes into what holds it, which may complete that in turn.
+        while holders:
+            holder, key = holders[-1]
+            if isinstance(holder, dict):
+                holder[key] = made
+            else:
+                holder.append(made)
+            at = skip(at)
+            if text[at : at + 1] == ",":
+                at = skip(at + 1)
+                if isinstance(holder, dict):
+                    holders[-1][1], at = _key(text, at, skip)
+                break
+            if text[at : at + 1] != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            at += 1
+            made = holders.pop()[0]
+        else:
+            if skip(at) != len(text):
+                raise ValueError("more after the value")
+            return made
+
+
+def _key(text: str, at: int, skip) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, skip(at + 1)
+
+
+def dumps_deep(value: object) -> str:
+    """JSON text of a value of any depth, keys sorted."""
+    out: list[str] = []
+    waiting: list[tuple[bool, object]] = [(False, value)]  # (is text already, what)
+    while waiting:
+        done, x = waiting.pop()
+        if done or not isinstance(x, (dict, list)):
+            out.append(x if done else json.dumps(x))
+            continue
+        parts: list[tuple[bool, object]] = [(True, "{" if isinstance(x, dict) else "[")]
+        for i, v in enumerate(sorted(x.items()) if isinstance(x, dict) else x):
+            parts.append((True, (", " if i else "") + (json.dumps(v[0]) + ": " if isinstance(x, dict) else "")))
+            parts.append((False, v[1] if isinstance(x, dict) else v))
+        waiting += reversed([*parts, (True, "}" if isinstance(x, dict) else "]")])
+    return "".join(out)
+
+
+def _content(rest: dict) -> str:
+    try:
+        return json.dumps(rest, sort_keys=True)
+    except RecursionError:
+        return dumps_deep(rest)
+
+
 def _elements(payload: str) -> list[tuple[str, dict]] | None:
     """(collection, element) of everything that has a self_ref; None if it isn't JSON."""
     try:
         top = json.loads(payload, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            top = loads_deep(payload)
+        except ValueError:
+            return None
+    except ValueError:
         return None
     if not isinstance(top, dict):
         return []
@@ -111,7 +200,7 @@ def occurrences_of(payload: str, content: bool) -> list[tuple]:
         more = (None,) * 5
         if content and first:
             rest = {k: v for k, v in e.items() if k not in SEPARATE}
-            more = (*(_clean(e.get(k)) for k in ("label", "content_layer", "name", "text")), json.dumps(rest, sort_keys=True))
+            more = (*(_clean(e.get(k)) for k in ("label", "content_layer", "name", "text")), _content(rest))
         rows.append((pre, post, level, _clean(ref), first, by, _clean(name), *more))
     return rows
 

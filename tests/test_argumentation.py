@@ -99,3 +99,22 @@ def test_compilers(spark):
     assert {(r.src, r.dst) for r in A.from_toulmin(lay)[1].collect()} == {("layout_1_rebuttal_1", "layout_1")}
     ins = spark.createDataFrame([("w", 0, [(0, "open"), (1, "addressed")])], "af_id string, ord long, questions array<struct<index:int,status:string>>")
     assert {(r.src, r.dst) for r in A.from_walton(ins)[1].collect()} == {("scheme_1_cq_0", "scheme_1")}
+
+
+def test_frameworks_of_any_size(spark):
+    """66 arguments do not fit into masks: the error is seen, and extensions() takes another way."""
+    names = [f"a{i:02d}" for i in range(66)]
+    args = spark.createDataFrame([("big", x, i) for i, x in enumerate(names)] + [("small", x, i) for i, x in enumerate("abc")] + [("pairs", f"p{i:02d}", i) for i in range(26)] + [("over", str(i), i) for i in range(129)], "af_id string, arg string, ord int")
+    att = spark.createDataFrame(
+        [("big", "a01", "a00"), ("small", "a", "b"), ("small", "b", "c")] + [("pairs", f"p{i:02d}", f"p{i ^ 1:02d}") for i in range(4)] + [("pairs", f"p{i:02d}", f"p{i % 22 + 4:02d}") for i in range(4, 25)], "af_id string, src string, dst string")
+    with pytest.raises(Exception, match="too many for masks"):
+        A.grounded(A.masks(args, att)).collect()
+    got = {}
+    for r in A.extensions(args, att).collect():
+        got.setdefault((r.af_id, r.semantics), []).append(r.members)
+    assert got["big", "grounded"] == got["big", "stable"] == [[x for x in names if x != "a00"]]
+    assert got["small", "preferred"] == [["a", "c"]] and got["over", "capacity_exceeded"] == [[]] and ("over", "grounded") not in got
+    only = A.extensions(args, att, ("grounded",)).collect()
+    assert {r.semantics for r in only} == {"grounded", "capacity_exceeded"} and len(only) == 4
+    large = A.extensions_large(args.where("af_id = 'pairs'"), att.where("af_id = 'pairs'")).collect()
+    assert sorted(map(sorted, got["pairs", "complete"])) == sorted(sorted(r.members) for r in large if r.semantics == "complete")

@@ -42,3 +42,22 @@ def test_two_versions_and_lone_surrogate(spark):
     b = json.dumps({"body": {"self_ref": "b"}, "texts": [{"self_ref": "t", "parent": {"$ref": "b"}}]})
     got = N.links_by_containment(N.occurrences(records(spark, [(1, a, "", 0), (1, b, "", 0)]))).collect()
     assert [tuple(r)[:3] for r in got] == [(1, "b", "t")]
+
+
+def test_records_of_any_depth(spark):
+    deep = "[" * 20_000 + "1" + "]" * 20_000
+    text = '{"body": {"self_ref": "b", "children": [{"$ref": "t"}]}, "texts": [{"self_ref": "t", "label": "x", "data": %s, "more": {"k": [true, "a\\u00e9", -1.5e3]}}]}' % deep
+    occ = N.occurrences(records(spark, [(1, text, "", 0), (2, text[:-1], "", 0), (3, text + "x", "", 0), (4, text.replace('"k": [', '"k" ['), "", 0)])).collect()
+    assert [(r.record_id, r.self_ref, r.label) for r in occ] == [(1, "b", None), (1, "t", "x")]
+    assert occ[1].content == '{"data": ' + deep + ', "more": {"k": [true, "a\\u00e9", -1500.0]}}'
+
+
+def test_deep_reader_agrees_with_the_plain_one():
+    for text in ('{}', '[]', ' [1, -2.5e-3 , "a\\n\\u00e9", {"b": null, "b": [ ]}] ', '"x"', '0', 'true'):
+        assert N.loads_deep(text) == json.loads(text) and N.dumps_deep(json.loads(text)) == json.dumps(json.loads(text), sort_keys=True)
+    for text in ("", "[1,]", "{1:2}", "[1 2]", '{"a" 1}', "01", "[", "nul", '"\n"', "[NaN]", "1 1", '{"a":1,}'):
+        try:
+            N.loads_deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)

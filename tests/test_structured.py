@@ -82,3 +82,23 @@ def test_every_line_of_an_order_enters_its_theory(spark, tmp_path):
     got = {r.theory_id: (r.arguments, r.attacks) for r in Q.structured_defeats(spark, str(tmp_path)).collect()}
     # Line 6 concludes against the other six, and they against it.
     assert got == {"1": (14, 12), "2": (2, 0)}
+
+
+def test_right_frontier_with_complex_units():
+    # A complete complex unit joins by any member that is on the frontier, not only by the last one.
+    assert G.frontier(["e1", "e2", "e3", "e4"], [("e1", "e2", True), ("e2", "e3", True), ("c", "e4", True)], {"c": ["e1", "e2"]}) == []
+    assert G.frontier(["e1", "e2", "e3"], [("c", "e3", True), ("e1", "e2", False)], {"c": ["e1", "e3"]}) == ["e3"]
+    # A unit that nothing attaches is a violation; the first one needs nothing.
+    assert G.frontier(["e1", "e2"], [], {}) == ["e2"] and G.frontier(["e1"], [], {}) == [] and G.frontier([], [], {}) == []
+    assert G.frontier(["e1", "e2", "e3"], [("e1", "e2", False), ("o", "e3", False)], {"o": ["p"], "p": ["o", "e2"]}) == []
+    assert G.frontier(["e1", "e2"], [("gone", "e2", False)], {"x": ["gone"]}) == ["e2"]
+
+
+def test_long_chains_are_no_cycles(spark):
+    rows = [("chain", f"n{i}", f"n{i + 1}") for i in range(3000)] + [("ring", f"n{i}", f"n{(i + 1) % 3000}") for i in range(3000)] + [("ring", "n1", "out"), ("x", None, "a")]
+    df = spark.createDataFrame(rows, "graph_id string, src string, dst string")
+    got = {(r.graph_id, r.src, r.dst) for r in G.cyclic_edges(df).collect()}
+    assert got == {r for r in rows if r[0] == "ring" and r[2] != "out"}
+    few = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "b"), ("g", "c", "d"), ("h", "a", "b")], df.schema)
+    want = {("g", "b", "c"), ("g", "c", "b")}
+    assert {tuple(r) for r in G.cyclic_edges(few).collect()} == {tuple(r) for r in G.cyclic_edges(few, 1).collect()} == want

@@ -135,3 +135,38 @@ def test_quotations_with_backslashes(spark, tmp_path):
     spark.createDataFrame([(4, text), (8, "The whole text without any of it.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in text_queries.quote_resolution(spark, str(tmp_path)).collect()} == {(4, "resolved"), (8, "resolved")}
     assert {tuple(r) for r in text_queries.document_needles(spark, str(tmp_path)).collect()} == {(4, 4, text.rindex("ee")), (8, 0, -1)}
+
+
+def test_concept_boundaries_vetoes_and_anchors(spark):
+    """Punctuation before, a hyphened ending and a negative phrase inside another word keep a mention."""
+    kind = "curie string, surface string, case_sensitive boolean, match_policy string, anchors array<string>, negative array<string>, anchor_window int, undecided boolean"
+    index = spark.createDataFrame([
+        ("c:d", "docker", False, "unambiguous", [], ["art"], 25, False), ("c:ny", "New York", False, "unambiguous", [], [], 5, False), ("c:y1", "York", False, "unambiguous", [], [], 5, False),
+        ("c:y2", "york", False, "unambiguous", [], [], 5, False), ("c:u", "Annex", True, "case_exact", [], [], 5, False), ("c:l", "ledger", False, "unambiguous", [], [], 5, True),
+        ("c:a", "bank", False, "context_anchored", ["river side"], [], 5, False), ("c:blank", " ", False, "unambiguous", [], [], 5, False)], kind)
+    texts = ["-docker", "a docker-based one", "docker party", "docker art", "re-docker docker.io docker.", "NEW YORK YORK yorkshire", "Annex annex", "the ledger",
+             "bank on the river side", "bank a b c d e river side", "art " + "w " * 24 + "docker", "art " + "w " * 25 + "docker", "İ docker"]
+    got = {}
+    for r in L.link_concepts(docs(spark, *texts), index).collect():
+        got.setdefault(r.doc_id, []).append((r.start_pos, r.surface, r.curies, r.resolution))
+    assert [got[i] for i in range(3)] == [[(1, "docker", "c:d", "unique")], [(2, "docker", "c:d", "unique")], [(0, "docker", "c:d", "unique")]]
+    assert 3 not in got and got[4] == [(20, "docker", "c:d", "unique")]
+    assert got[5] == [(0, "NEW YORK", "c:ny", "unique"), (9, "YORK", "c:y1,c:y2", "ambiguous")]
+    assert got[6] == [(0, "Annex", "c:u", "unique")] and got[7] == [(4, "ledger", "c:l", "ambiguous")]
+    assert got[8] == [(0, "bank", "c:a", "unique")] and 9 not in got and 10 not in got and 11 in got and got[12][0][0] == 2
+    assert L.link_concepts(docs(spark, *texts), index.limit(0)).count() == 0
+
+
+def test_matching_along_long_chains(spark):
+    """Spans of which each overlaps two of the other side: swaps run along the whole chain."""
+    n = 3000
+    gold = [("d", 10 * i, 10 * i + 10) for i in range(n)]
+    pred = [("d", 10 * i + 5, 10 * i + 15) for i in range(n)]
+    kind = "u string, start_pos long, stop_pos long"
+    assert tuple(C.soft_matches(spark.createDataFrame(gold, kind), spark.createDataFrame(pred[::-1], kind), "u", 0.3).first()) == ("d", n, n, n)
+
+
+def test_opening_cues_after_any_gap(spark):
+    df = docs(spark, "But it is." + " " * 90 + "If so, if not", "no but")
+    got = {(r.doc_id, r.cue, r.start_pos) for r in S.opening_cues(df, [("en", "but", "contrast"), ("en", "if", "condition")]).collect()}
+    assert got == {(0, "but", 0), (0, "if", 100), (0, "if", 107)}
