@@ -94,6 +94,15 @@ def deliberation_map(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return issues.join(pos, ["map_id", "issue"], "left").join(arg, ["map_id", "position"], "left").select("map_id", "issue", "position", "supporting", "objecting")
 
 
+def deliberation_gaps(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(map_id, gap, id): issues without positions, positions without arguments, and nodes without any link."""
+    ids = lambda c: links.select("map_id", F.col(c).alias("id"))
+    lacks = lambda kind, relations: nodes.where(F.col("kind") == kind).join(links.where(F.col("relation").isin(*relations)).select("map_id", F.col("target").alias("id")), ["map_id", "id"], "left_anti")
+    gap = lambda df, name: df.select("map_id", F.lit(name).alias("gap"), "id").distinct()
+    return gap(lacks("issue", ["responds_to"]), "issue_without_position").unionByName(gap(lacks("position", ["supports", "objects_to"]), "position_without_argument")).unionByName(
+        gap(nodes.join(ids("source").unionByName(ids("target")), ["map_id", "id"], "left_anti"), "isolated_node"))
+
+
 def type_counts(rows: DataFrame, by: list[str], column: str, types: list[str]) -> DataFrame:
     """Counts of all ``types`` per group, zero where a type is absent."""
     return rows.groupBy(*by).agg(*[F.count(F.when(F.col(column) == t, 1)).alias(t) for t in types]).select(

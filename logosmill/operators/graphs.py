@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logosmill.operators.grouped import LOCAL_ROWS, by_size, on_whole_groups, places
@@ -154,3 +155,43 @@ def argument_graph_violations(nodes: DataFrame, relations: DataFrame) -> DataFra
         .unionByName(rule(ends.join(nodes, ["graph_id", "id"], "left_anti"), "unknown_endpoint", "id"))
         .unionByName(rule(relations.groupBy("graph_id", "relation_type", "source_id", "target_id").count().where("count > 1"), "repeated_relation", "source_id"))
         .unionByName(rule(loops.select("graph_id", "src").distinct(), "inference_cycle", "src")))
+
+
+def discourse_violations(units: DataFrame, complex_units: DataFrame, relations: DataFrame) -> DataFrame:
+    """(graph_id, rule, detail) over units (graph_id, unit, ord, start_pos, stop_pos), complex_units (graph_id, unit, members) and relations (graph_id, id, source, target, structure).
+
+    Rules: repeated_unit, repeated_relation, unknown_member, unknown_endpoint,
+    overlapping_units, both_structures of one pair, membership_cycle, relation_cycle.
+    """
+    rule = lambda df, name, c: df.select("graph_id", F.lit(name).alias("rule"), c.alias("detail"))
+    every = units.select("graph_id", "unit").unionByName(complex_units.select("graph_id", "unit"))
+    known = every.distinct()
+    inside = complex_units.select("graph_id", F.col("unit").alias("holder"), F.explode("members").alias("unit"))
+    ends = relations.select("graph_id", "id", F.explode(F.array("source", "target")).alias("unit"))
+    before = F.lag("stop_pos").over(Window.partitionBy("graph_id").orderBy("ord"))
+    nested = inside.join(complex_units.select("graph_id", "unit").distinct(), ["graph_id", "unit"], "left_semi")
+    cycle = lambda df: cyclic_edges(df).select("graph_id", "src").distinct()
+    parts = [
+        rule(every.groupBy("graph_id", "unit").count().where("count > 1"), "repeated_unit", F.col("unit")),
+        rule(relations.groupBy("graph_id", "id").count().where("count > 1"), "repeated_relation", F.col("id")),
+        rule(inside.join(known, ["graph_id", "unit"], "left_anti").select("graph_id", "unit").distinct(), "unknown_member", F.col("unit")),
+        rule(ends.join(known, ["graph_id", "unit"], "left_anti").select("graph_id", "unit").distinct(), "unknown_endpoint", F.col("unit")),
+        rule(units.withColumn("_b", before).where("start_pos < _b"), "overlapping_units", F.col("unit")),
+        rule(relations.groupBy("graph_id", "source", "target").agg(F.countDistinct("structure").alias("n")).where("n > 1"), "both_structures", F.concat_ws(" ", "source", "target")),
+        rule(cycle(nested.select("graph_id", F.col("holder").alias("src"), F.col("unit").alias("dst"))), "membership_cycle", F.col("src")),
+        rule(cycle(relations.select("graph_id", F.col("source").alias("src"), F.col("target").alias("dst"))), "relation_cycle", F.col("src")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def root_choice(nodes: DataFrame, edges: DataFrame, tree: str) -> DataFrame:
+    """(tree, node_id): the root of each tree of nodes (tree, node_id, kind, width, units) and edges (tree, child_id).
+
+    Nodes that are nobody's child come first, of them those of kind 'root', then the
+    widest by characters and units; ties go to the least id.  Where every node is a
+    child, all are looked at.
+    """
+    child = edges.select(tree, F.col("child_id").alias("node_id")).distinct().withColumn("_c", F.lit(1))
+    ranked = nodes.join(child, [tree, "node_id"], "left")
+    place = F.struct(F.coalesce("_c", F.lit(0)).alias("c"), (F.coalesce("kind", F.lit("")) != "root").cast("int").alias("k"), (-F.coalesce("width", F.lit(0))).alias("w"), (-F.coalesce("units", F.lit(0))).alias("u"), F.col("node_id"))
+    return ranked.groupBy(tree).agg(F.min(place).alias("m")).select(tree, F.col("m.node_id").alias("node_id"))

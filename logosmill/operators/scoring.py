@@ -157,3 +157,56 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.greatest(F.lit(1e-6), F.stddev_pop(c)).alias(f"_s_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(stats))  # one row
     return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in columns}).drop(*[f"_{x}_{c}" for c in columns for x in "ms"])
+
+
+def signal_counts(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, criterion, gold, pred, matched) of signals (keys, edge_id, signal_type, signal_subtype, tokens).
+
+    Criteria: detection by edge, type, subtype (both in any case), and token by
+    incidence of tokens and edge.  Signals without an edge match nothing but stay in the
+    counts.  A signal's repeated token counts once.
+    """
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        base = df.select(*keys, "edge_id", F.lower("signal_type").alias("t"), F.lower("signal_subtype").alias("st"), F.array_distinct(F.coalesce("tokens", F.array().cast("array<bigint>"))).alias("tokens"))
+        none = F.lit(None).cast("string")
+        kinds = [("detection", none, none), ("type", F.col("t"), none), ("subtype", F.col("t"), F.col("st"))]
+        whole = base.select(*keys, "edge_id", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), a.alias("a"), b.alias("b")) for c, a, b in kinds])).alias("x")).select(*keys, "edge_id", "x.*")
+        token = base.select(*keys, "edge_id", F.lit("token").alias("criterion"), F.explode(F.col("tokens").cast("array<string>")).alias("a"), none.alias("b"))
+        return whole.unionByName(token).groupBy(*keys, "criterion", "edge_id", "a", "b").agg(F.count("*").alias(side))
+
+    both = rows(gold, "g").withColumn("p", F.lit(0)).unionByName(rows(pred, "p").withColumn("g", F.lit(0)))
+    one = both.groupBy(*keys, "criterion", "edge_id", "a", "b").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return one.groupBy(*keys, "criterion").agg(
+        F.sum("g").alias("gold"), F.sum("p").alias("pred"), F.sum(F.when(F.col("edge_id").isNotNull(), F.least("g", "p")).otherwise(0)).alias("matched"))
+
+
+def location_counts(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, criterion, gold, pred, matched) of signals by their set of tokens: location, location_type, location_subtype; those without tokens as 'unanchored', never matched."""
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        at = F.array_join(F.sort_array(F.coalesce("tokens", F.array().cast("array<bigint>"))), ",")
+        base = df.select(*keys, at.alias("at"), "signal_type", "signal_subtype")
+        none = F.lit(None).cast("string")
+        kinds = [("location", none, none), ("location_type", F.col("signal_type"), none), ("location_subtype", F.col("signal_type"), F.col("signal_subtype"))]
+        found = base.where("at <> ''").select(*keys, "at", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), a.alias("a"), b.alias("b")) for c, a, b in kinds])).alias("x")).select(*keys, "at", "x.*")
+        loose = base.where("at = ''").select(*keys, "at", F.lit("unanchored").alias("criterion"), none.alias("a"), none.alias("b"))
+        return found.unionByName(loose).groupBy(*keys, "criterion", "at", "a", "b").agg(F.count("*").alias(side))
+
+    both = rows(gold, "g").withColumn("p", F.lit(0)).unionByName(rows(pred, "p").withColumn("g", F.lit(0)))
+    one = both.groupBy(*keys, "criterion", "at", "a", "b").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return one.groupBy(*keys, "criterion").agg(
+        F.sum("g").alias("gold"), F.sum("p").alias("pred"), F.sum(F.when(F.col("criterion") != "unanchored", F.least("g", "p")).otherwise(0)).alias("matched"))
+
+
+def concept_metrics(gold: DataFrame, pred: DataFrame, place: list[str]) -> DataFrame:
+    """One row of counts and rates of mentions: ``gold`` (place, target or null), ``pred`` (place, targets array), each place once.
+
+    A rate without a denominator is null.
+    """
+    both = gold.withColumn("_g", F.lit(1)).join(pred.withColumn("_p", F.lit(1)), place, "full")
+    hit = F.col("_g").isNotNull() & F.col("_p").isNotNull()
+    n = lambda c: F.count(F.when(c, 1))
+    counts = both.agg(
+        n(F.col("_p") == 1).alias("predicted"), n(F.col("_g") == 1).alias("gold"), n(hit).alias("correct"), n(F.col("target").isNotNull()).alias("canonical"),
+        n(hit & F.array_contains("targets", F.col("target"))).alias("canonical_correct"), n(F.size("targets") > 1).alias("ambiguous"), n(F.col("_g").isNull()).alias("spurious"),
+        n(F.size("targets") == 0).alias("unmapped"))
+    return counts.select("*", F.try_divide("correct", "predicted").alias("precision"), F.try_divide("correct", "gold").alias("recall"), F.try_divide("canonical_correct", "canonical").alias("canonical_recall"))

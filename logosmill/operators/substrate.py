@@ -76,6 +76,44 @@ def cue_scan(documents: DataFrame, key: str = "doc_id", text: str = "text", cues
     return found.join(F.broadcast(lexicon), "phrase").select(key, *keep, "category", "label", "phrase")  # the lexicon is a literal list
 
 
+def cue_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", cues: list[tuple[str, str, str]] = CUES) -> DataFrame:
+    """(key, start_pos, stop_pos, category, label, phrase) of every cue occurrence, as :func:`cue_scan` finds them.
+
+    Null keys and texts have none.  Only phrases, lengths and the characters beside them
+    are shuffled.
+    """
+    pattern = cue_pattern([p for _, p, _ in cues])
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, folded(F.col(text)).alias("_low"))
+    rows = rows.withColumn("_p", F.split("_low", pattern, -1)).where(F.size("_p") > 1)
+    parts = F.transform("_p", lambda p: F.struct(F.length(p).alias("gap"), F.left(p, F.lit(1)).alias("first"), F.right(p, F.lit(1)).alias("last")))
+    each = rows.select(key, F.posexplode(F.arrays_zip(
+        parts.alias("p"), F.regexp_extract_all("_low", F.lit(f"({pattern})"), F.lit(1)).alias("phrase"), F.slice(parts, F.lit(2), F.size("_p")).alias("next"))).alias("i", "x"))
+    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("x.p.gap") + F.coalesce(F.length("x.phrase"), F.lit(0))).over(w)
+    # A neighbouring match touches this one: its letters are no boundary.
+    bounded = ~F.col("x.p.last").rlike(_WORD_EDGE) & ~F.col("x.next.first").rlike(_WORD_EDGE) & ((F.col("x.p.gap") > 0) | (F.col("i") == 0)) & (
+        (F.col("x.next.gap") > 0) | F.col("last_one"))
+    placed = each.withColumns({"stop_pos": stop, "last_one": F.lead(F.col("x.phrase")).over(Window.partitionBy(key).orderBy("i")).isNull()})
+    found = placed.where(F.col("x.phrase").isNotNull() & bounded).select(key, (F.col("stop_pos") - F.length("x.phrase")).alias("start_pos"), "stop_pos", F.col("x.phrase").alias("phrase"))
+    lexicon = documents.sparkSession.createDataFrame(cues, "category string, phrase string, label string")
+    return found.join(F.broadcast(lexicon), "phrase").select(key, "start_pos", "stop_pos", "category", "label", "phrase")  # the lexicon is a literal list
+
+
+def source_prefix(units: DataFrame, signals: DataFrame, key: str = "doc_id", most: int = 128) -> DataFrame:
+    """(key, prefix): a document's units with their headers, then its first ``most`` signals by place and kind.
+
+    ``units``: key, ord, unit_id, header (what stands after the id, or null), text.
+    ``signals``: key, unit_id, start_pos, stop_pos, kind, label, text.
+    """
+    header = F.concat(F.lit("["), F.concat_ws(" | ", F.col("unit_id"), F.col("header")), F.lit("]"))
+    blocks = units.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws("\n", header, F.col("text")).alias("b")))).alias("bs"))
+    line = F.format_string("- %s [%s:%s] '%s'", F.coalesce("unit_id", F.lit("doc")), "kind", "label", "text")
+    lines = signals.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("start_pos", "stop_pos", "kind", line.alias("l")))), 1, most).alias("ls"))
+    body = F.concat(F.lit("<source_document>\n"), F.array_join("bs.b", "\n\n"), F.lit("\n</source_document>"))
+    tail = F.when(F.size("ls") > 0, F.concat(F.lit("\n<linguistic_signals>\n"), F.array_join("ls.l", "\n"), F.lit("\n</linguistic_signals>"))).otherwise("")
+    return blocks.join(lines, key, "left").select(key, F.concat(body, F.coalesce(tail, F.lit(""))).alias("prefix"))
+
+
 def occurrences(documents: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_pos, stop_pos, found) of the pattern's non-overlapping matches."""
     parts = F.split(F.col(text), pattern, -1)
@@ -116,9 +154,14 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\S+")))
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Rows of points (key, pos, ...) with the spans (key, start_pos, stop_pos, ...) that contain them."""
-    return points.join(spans, key).where("start_pos <= pos and pos < stop_pos")
+def points_in_spans(points: DataFrame, spans: DataFrame, key: str, bucket: int = 1024) -> DataFrame:
+    """Rows of points (key, pos, ...) with the spans (key, start_pos, stop_pos, ...) that contain them.
+
+    A point meets the spans that touch its bucket, so a document with very many of both
+    joins bucket by bucket instead of all with all.
+    """
+    spread = spans.where("start_pos < stop_pos").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_pos") / bucket), F.floor((F.col("stop_pos") - 1) / bucket))))
+    return points.withColumn("_b", F.floor(F.col("pos") / bucket)).join(spread, [key, "_b"]).where("start_pos <= pos and pos < stop_pos").drop("_b")
 
 
 def overlapping_spans(a: DataFrame, b: DataFrame, key: str, bucket: int = 512) -> DataFrame:

@@ -31,7 +31,7 @@ def concept_links(spark, d):
 
 def concept_coverage(spark, d):
     """Documents and mentions per concept that never depends on its context."""
-    plain = concept_index(spark).where("match_policy = 'unambiguous' and size(negative) = 0 and curie <> 'c:voting'")
+    plain = concept_index(spark).where("match_policy = 'unambiguous'")
     out = L.link_concepts(table(spark, d, "documents").select("doc_id", "text"), plain)
     return out.groupBy("curies").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
 
@@ -97,10 +97,46 @@ QUERIES = {f.__name__: f for f in (
 
 _ATT = """l AS (SELECT l_orderkey AS g, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
 e AS (SELECT DISTINCT a.g, CAST(a.i AS VARCHAR) AS src, CAST(b.i AS VARCHAR) AS dst FROM l a JOIN l b USING (g) WHERE (a.p + b.s) % 4 = 0 AND (a.i <> b.i OR a.p % 11 = 0))"""
+_TOKENS = "[A-Za-z0-9_.+-]+"
+
+
+def _concept_sql(entries):
+    """SQL of concept links: places, boundaries, windows of tokens, and the choice as a recursion over sorted spans."""
+    listed = lambda xs: "[" + ", ".join(f"'{x.lower()}'" for x in xs) + "]::VARCHAR[]"
+    index = ", ".join(f"('{c}', '{x.lower()}', '{x}', {str(exact or policy == 'case_exact').lower()}, {str(policy == 'context_anchored').lower()}, {listed(anchors)}, {listed(negative)}, {window})"
+                      for c, x, exact, policy, anchors, negative, window in entries if policy != "never_link")
+    return rf"""WITH RECURSIVE ix(curie, low, surface, exact, anchored, anchors, negative, win) AS (VALUES {index}),
+d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE length(lower(text)) = length(text)),
+f AS (SELECT doc_id, low, list_transform(string_split(t, low), lambda x: length(x)) AS g FROM d, (SELECT DISTINCT low FROM ix) WHERE contains(t, low)),
+p AS (SELECT doc_id, low, CAST(list_sum(g[1:i]) + length(low) * (i - 1) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(g))) AS i FROM f)),
+m AS (SELECT p.*, a + length(low) AS b, text, t FROM p JOIN d USING (doc_id) WHERE NOT regexp_matches(substr(t, a + length(low) + 1, 2), '^\.?[\p{{L}}\p{{N}}]')
+  AND (a = 0 OR NOT regexp_matches(substr(t, a, 1), '[\p{{L}}\p{{N}}]')) AND (a < 2 OR NOT regexp_matches(substr(t, a - 1, 2), '[\p{{L}}\p{{N}}]-'))),
+c AS (SELECT *, regexp_replace(substr(text, 1, a), '{_TOKENS}$', '') AS l, regexp_replace(substr(text, b + 1), '^{_TOKENS}', '') AS r FROM m),
+w AS (SELECT *, regexp_extract_all(l, '{_TOKENS}') AS lt, regexp_extract_all(r, '{_TOKENS}') AS rt,
+  lower(regexp_extract(l, '((?:{_TOKENS}[^A-Za-z0-9_.+-]*){{0,25}})$') || substr(text, length(l) + 1, length(text) - length(l) - length(r)) || regexp_extract(r, '^((?:[^A-Za-z0-9_.+-]*{_TOKENS}){{0,25}})')) AS zone FROM c),
+e AS (SELECT w.*, curie, lower(array_to_string(lt[greatest(1, len(lt) - win + 1):], ' ') || ' ' || array_to_string(rt[1:win], ' ')) AS ctx, anchored, anchors, negative FROM w JOIN ix USING (low) WHERE NOT exact OR substr(text, a + 1, length(low)) = surface),
+ok AS (SELECT * FROM e WHERE NOT coalesce(list_bool_or(list_transform(negative, lambda n: regexp_matches(zone, '(?:^|[^\p{{L}}\p{{N}}])' || n || '(?:$|[^\p{{L}}\p{{N}}])'))), false)
+  AND (NOT anchored OR coalesce(list_bool_or(list_transform(anchors, lambda n: regexp_matches(ctx, '(?:^|[^\p{{L}}\p{{N}}])' || n || '(?:$|[^\p{{L}}\p{{N}}])'))), false))),
+s AS (SELECT doc_id, a, b, any_value(substr(text, a + 1, length(low))) AS surface, string_agg(DISTINCT curie, ',' ORDER BY curie) AS curies, count(DISTINCT curie) AS n FROM ok GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, a - b) AS k FROM s),
+z AS (SELECT doc_id, k, b AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, CASE WHEN o.a >= z.last THEN o.b ELSE z.last END, o.a >= z.last FROM z JOIN o ON o.doc_id = z.doc_id AND o.k = z.k + 1)
+SELECT doc_id, a AS start_pos, b AS stop_pos, surface, curies, CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS resolution FROM o JOIN z USING (doc_id, k) WHERE kept"""
+
+
 ORACLES = {
-    "concept_coverage": r"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT 'c:vote' AS curies, doc_id, len(regexp_extract_all(regexp_replace(t, '[^\p{L}\p{N}_.-]', '  ', 'g'), '(?:^|[^\p{L}\p{N}_.-])vote(?:$|[^\p{L}\p{N}_.-]|[.-](?:$|[^\p{L}\p{N}_]))')) AS n FROM t
-UNION ALL SELECT 'c:remote', doc_id, len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_.-])remote\s+voting(?:$|[^\p{L}\p{N}_.-]|[.-](?:$|[^\p{L}\p{N}_]))')) FROM t)
-SELECT curies, CAST(sum(n) AS BIGINT) AS mentions, count(*) FILTER (n > 0) AS documents FROM h GROUP BY 1""",
+    "concept_links": _concept_sql(CONCEPTS),
+    "structured_defeats": """WITH l AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS i, l_returnflag AS f FROM lineitem),
+n AS (SELECT g, i, count(*) AS c, bool_or(f <> 'R') AS pro, bool_or(f = 'R') AS con FROM l GROUP BY 1, 2),
+x AS (SELECT g, sum(c) AS k, coalesce(sum(c) FILTER (pro), 0) AS pro, coalesce(sum(c) FILTER (con), 0) AS con, coalesce(sum(c) FILTER (pro AND i = 1), 0) AS pro1, coalesce(sum(c) FILTER (con AND i = 1), 0) AS con1 FROM n GROUP BY 1)
+SELECT CAST(g AS VARCHAR) AS theory_id, CAST(k + pro + con AS BIGINT) AS arguments, CAST(2 * pro * con AS BIGINT) AS attacks, CAST(2 * pro * con - pro1 * (con - con1) - con1 * (pro - pro1) AS BIGINT) AS defeats FROM x""",
+    "aligned_findings": r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\n\s*\n)', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+e AS (SELECT doc_id, i, s[i] AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM p)),
+o AS (SELECT doc_id, i, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(regexp_extract(x, '^\s*')) AS a, length(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS n FROM e),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, a, a + n AS b FROM o WHERE n > 0),
+y AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[12][0-9]{3}'), lambda x: length(x)) AS g, regexp_extract_all(text, '[12][0-9]{3}') AS m FROM documents),
+f AS (SELECT doc_id, CAST(list_sum(g[1:i]) + 4 * (i - 1) AS BIGINT) AS a, m[i] AS m FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM y))
+SELECT f.doc_id, '/block[' || k || ']' AS path, string_agg(m || '@' || f.a, ',' ORDER BY f.a) AS findings FROM f JOIN u ON u.doc_id = f.doc_id AND f.a < u.b AND u.a < f.a + 4 GROUP BY 1, 2""",
+    "concept_coverage": f"SELECT curies, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM ({_concept_sql([e for e in CONCEPTS if e[3] == 'unambiguous'])}) GROUP BY 1",
     "attack_cycles": f"""WITH RECURSIVE {_ATT}, x AS (SELECT * FROM e WHERE src <> dst), r AS (SELECT g, src, dst FROM x UNION SELECT r.g, r.src, x.dst FROM r JOIN x ON x.g = r.g AND x.src = r.dst),
 c AS (SELECT g, src AS n FROM r WHERE src = dst)
 SELECT g AS graph_id, src, dst FROM x WHERE (EXISTS (SELECT 1 FROM c WHERE c.g = x.g AND (c.n = x.src OR (x.g, c.n, x.src) IN (SELECT * FROM r)))) AND EXISTS (SELECT 1 FROM c WHERE c.g = x.g AND (c.n = x.dst OR (x.g, x.dst, c.n) IN (SELECT * FROM r)))""",

@@ -16,7 +16,7 @@ PRIMARY = ["title", "heading", "paragraph", "list_item", "turn"]
 def cue_signals(spark, d):
     """Cues and frequent words per language."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    found = S.cue_scan(docs, cues=[*CUES, *COMMON]).join(docs.select("doc_id", "lang"), "doc_id")
+    found = S.cue_scan(docs, cues=[*CUES, *COMMON], keep=("lang",))
     return found.groupBy("lang", "category", "label").agg(F.count("*").alias("n"))
 
 
