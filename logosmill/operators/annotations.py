@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logosmill.session import broadcast_if_small
+
 # Communicative functions of each class of speech act.
 ACT_FUNCTIONS = {
     "assertive": "inform agreement disagreement correction answer confirm disconfirm", "directive": "question request instruct suggest",
@@ -111,3 +113,45 @@ def hardest_negatives(rows: DataFrame, by: list[str], key: str, hardness: str, r
     n = rows.groupBy(*by).agg(F.count(F.when(F.col("label"), 1)).alias("_p"))
     w = Window.partitionBy(*by, "label").orderBy(F.desc(hardness), F.sha2(F.col(key).cast("string"), 256))
     return rows.join(n, by).withColumn("_r", F.row_number().over(w)).where(F.col("label") | (F.col("_r") <= F.floor(F.col("_p") * ratio))).drop("_p", "_r")
+
+
+def dispatched(requests: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """Requests (technique, structured, formalism, ...) with ``outcome`` and ``reason``: what can run, and why the rest cannot.
+
+    ``capabilities``: technique, state, formalisms array, needs_structured.  Reasons, the
+    first that holds: not_implemented, the state if it isn't 'available',
+    structured_input_required, structured_input_refused, formalism_unsupported.
+    """
+    known = capabilities.dropDuplicates(["technique"]).withColumn("_k", F.lit(True))
+    rows = requests.join(broadcast_if_small(known), "technique", "left")
+    given = F.coalesce("structured", F.lit(False))
+    reason = (
+        F.when(F.col("_k").isNull(), "not_implemented").when(F.col("state") != "available", F.col("state")).when(F.col("needs_structured") & ~given, "structured_input_required")
+        .when(~F.col("needs_structured") & given, "structured_input_refused").when(F.col("formalism").isNotNull() & ~F.array_contains("formalisms", F.col("formalism")), "formalism_unsupported"))
+    return rows.select(*requests.columns, F.when(reason.isNull(), "ready").otherwise("unavailable").alias("outcome"), reason.alias("reason"))
+
+
+def summary_lines(outcomes: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, line) of outcomes (key, technique, kind, formalism, code): a head with counts, then one line an outcome by technique."""
+    line = (F.when(F.col("kind") == "result", F.concat(F.col("technique"), F.lit(": result; formalism="), F.coalesce("formalism", F.lit("(none)"))))
+            .when(F.col("kind") == "failed", F.concat(F.col("technique"), F.lit(": failed; "), F.coalesce("code", F.lit("(none)"))))
+            .otherwise(F.concat(F.col("technique"), F.lit(": unavailable; "), F.coalesce("code", F.lit("(none)")))))
+    done = F.count(F.when(F.col("kind") == "result", 1))
+    status = F.when(done == F.count("*"), "complete").when(done > 0, "partial").otherwise("unsuccessful")
+    rows = outcomes.groupBy(key).agg(F.concat(F.lit("requested: "), F.count("*").cast("string"), F.lit("; status: "), status).alias("head"), F.sort_array(F.collect_list(F.struct("technique", line.alias("l")))).alias("ls"))
+    return rows.select(key, F.posexplode(F.concat(F.array("head"), F.transform("ls", lambda x: x["l"]))).alias("line_no", "line"))
+
+
+def resolved_labels(labels: DataFrame, coarse: DataFrame, aliases: DataFrame, categories: DataFrame) -> DataFrame:
+    """``labels`` (label, ...) with ``concept`` and ``by``: found as a coarse label, as a fine one through its alias, or by the category before its first hyphen; null where none knows it.
+
+    ``coarse``: label, concept.  ``aliases``: fine, label.  ``categories``: category, concept.  All are small tables.
+    """
+    low = labels.withColumn("_l", F.lower(F.trim("label")))
+    one = lambda df, c, name: df.select(F.lower(F.trim(c)).alias(name), *[x for x in df.columns if x != c]).dropDuplicates([name])
+    a = one(coarse, "label", "_l").withColumnRenamed("concept", "_c1")
+    b = one(aliases.select("fine", F.lower(F.trim("label")).alias("_to")), "fine", "_l").join(one(coarse, "label", "_to").withColumnRenamed("concept", "_c2"), "_to").select("_l", "_c2")
+    c = one(categories, "category", "_cat").withColumnRenamed("concept", "_c3")
+    out = low.withColumn("_cat", F.substring_index("_l", "-", 1)).join(broadcast_if_small(a), "_l", "left").join(broadcast_if_small(b), "_l", "left").join(broadcast_if_small(c), "_cat", "left")
+    by = F.when(F.col("_c1").isNotNull(), "coarse").when(F.col("_c2").isNotNull(), "alias").when(F.col("_c3").isNotNull(), "category")
+    return out.select(*labels.columns, F.coalesce("_c1", "_c2", "_c3").alias("concept"), by.alias("by"))

@@ -249,16 +249,21 @@ def from_mining(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, Data
 
 
 def from_ibis(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Positions and arguments; objections attack; rivals on an issue attack each other, and their supporters attack the rival."""
+    """Positions and arguments; objections attack; rivals on an issue attack each other, and their supporters attack the rival.
+
+    Ends are matched with known nodes before pairs are formed, so the pairs themselves
+    are shuffled once for being distinct and not again.
+    """
     args = nodes.where("kind in ('position', 'argument')").select("af_id", F.col("node_id").alias("arg"), "ord")
-    objects = links.where("relation = 'objects_to'").select("af_id", F.col("source").alias("src"), F.col("target").alias("dst"))
-    responds = links.where("relation = 'responds_to'").select("af_id", F.col("source").alias("p"), F.col("target").alias("issue")).join(
-        nodes.where("kind = 'position'").select("af_id", F.col("node_id").alias("p")), ["af_id", "p"], "left_semi")
-    rivals = responds.join(responds.withColumnRenamed("p", "q"), ["af_id", "issue"]).where("p <> q").select("af_id", "p", "q").distinct()
-    supports = links.where("relation = 'supports'").select("af_id", F.col("source").alias("s"), F.col("target").alias("p"))
-    by_support = supports.join(rivals, ["af_id", "p"]).select("af_id", F.col("s").alias("src"), F.col("q").alias("dst"))
-    attacks = objects.unionByName(rivals.select("af_id", F.col("p").alias("src"), F.col("q").alias("dst"))).unionByName(by_support)
-    return args, cleaned(args, attacks)
+    known = args.select("af_id", "arg").distinct()
+    ends = lambda df, c: df.join(known.withColumnRenamed("arg", c), ["af_id", c], "left_semi")
+    objects = ends(ends(links.where("relation = 'objects_to'").select("af_id", F.col("source").alias("src"), F.col("target").alias("dst")), "src"), "dst")
+    positions = nodes.where("kind = 'position'").select("af_id", F.col("node_id").alias("p")).distinct()
+    responds = links.where("relation = 'responds_to'").select("af_id", F.col("source").alias("p"), F.col("target").alias("issue")).distinct().join(positions, ["af_id", "p"], "left_semi")
+    supports = ends(links.where("relation = 'supports'").select("af_id", F.col("source").alias("src"), F.col("target").alias("p")).distinct(), "src")
+    attackers = responds.select("af_id", "issue", "p", F.col("p").alias("src")).unionByName(supports.join(responds, ["af_id", "p"]).select("af_id", "issue", "p", "src"))
+    rivals = attackers.join(responds.select("af_id", "issue", F.col("p").alias("dst")), ["af_id", "issue"]).where("p <> dst").select("af_id", "src", "dst")
+    return args, objects.select("af_id", "src", "dst").unionByName(rivals).distinct()
 
 
 def from_toulmin(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logosmill.operators.grouped import on_whole_groups
+
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = 1024) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, exclusive, in two levels.
@@ -166,3 +170,70 @@ def shards(units: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
 
     placed = units.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(item)), zero, step, lambda a: a["out"]).alias("_x"))
     return units.join(placed.select(*keys, F.explode("_x").alias("_x")).select(*keys, F.col("_x.ord").alias("ord"), F.col("_x.shard").alias("shard"), F.col("_x.offset").alias("offset")), [*keys, "ord"])
+
+
+# The class of an element by its tag; other tags are 'other'.
+TAG_CLASSES = {
+    "metadata": "head summary label thread layer location hours minutes seconds msecs", "title": "title", "heading": "heading chapter", "paragraph": "text footnote", "group": "list group track",
+    "list_item": "ldiv", "table": "table tabular index", "table_cell": "ched rhed corn srow fcel ecel", "code": "code", "formula": "formula", "picture": "picture cover frame", "caption": "caption",
+    "picture_description": "description", "field": "field_region field_heading field_item key value", "asset": "asset audio"}
+LAYERS = {"furniture": "furniture", "background": "background", "invisible": "invisible"}  # fixed values: layers that decide the class
+HEAD_TAGS = ["label", "thread", "layer", "location"]  # fixed values: parts of an element's head
+
+
+def content_class(tag: Column, ancestors: Column, layer: Column, decorative: Column, is_turn: Column) -> Column:
+    """The class of a document element from its tag, the tags above it, its layer, and whether it lies in a decorative picture or is a speaker's turn."""
+    under = lambda *tags: F.arrays_overlap(F.coalesce(ancestors, F.array().cast("array<string>")), F.array(*map(F.lit, tags)))
+    of_tag = F.create_map(*[F.lit(x) for name, tags in TAG_CLASSES.items() for t in tags.split() for x in (t, name)])
+    own = F.coalesce(of_tag[tag], F.lit("other"))
+    own = F.when(is_turn, "turn").otherwise(own)
+    in_table = under("table", "tabular", "index") & ~tag.isin("table", "tabular", "index", *HEAD_TAGS)
+    return (
+        F.when(tag.isin("head", "custom") | under("head", "custom"), "metadata").when(tag.isin("page_header", "page_footer") | under("page_header", "page_footer"), "furniture")
+        .when(layer.isin(*LAYERS), layer).when(decorative & (tag != "picture"), "furniture").when(in_table, "table_cell").when(under("picture") & (own == "paragraph"), "picture_description")
+        .when(under("field_region", "field_item") & ~tag.isin(*HEAD_TAGS), "field").when((layer == "notes") & (own == "paragraph"), "note").otherwise(own))
+
+
+def merged_cells(cells: DataFrame, key: str) -> DataFrame:
+    """(key, row, col, owner_row, owner_col, row_span, col_span, problem) of table cells (key, row, col, token).
+
+    lcel continues the cell to the left, ucel the one above, xcel both where they are one
+    and the same; other tokens begin a cell.  problem: 'no_owner' for a continuation of
+    nothing, 'not_rectangular' for all cells of a merge that is no rectangle, else null.
+    A table is worked on whole, row by row, as owners depend on earlier owners.
+    """
+    kind = cells.schema[key].dataType.simpleString()
+
+    def merge(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for name, table in part.groupby(key, sort=False):
+            owner: dict[tuple[int, int], tuple[int, int] | None] = {}
+            for r, c, token in sorted(zip(table["row"], table["col"], table["token"].fillna(""))):
+                left, above = owner.get((r, c - 1)), owner.get((r - 1, c))
+                owner[r, c] = {"lcel": left, "ucel": above, "xcel": left if left == above else None}.get(token, (r, c))
+            held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for at, o in owner.items():
+                if o is not None:
+                    held.setdefault(o, []).append(at)
+            rows = []
+            for (r, c), o in owner.items():
+                if o is None:
+                    rows.append((name, r, c, None, None, None, None, "no_owner"))
+                    continue
+                high, wide = max(a for a, _ in held[o]) - o[0] + 1, max(b for _, b in held[o]) - o[1] + 1
+                whole = len(held[o]) == high * wide and min(held[o]) == o and min(b for _, b in held[o]) == o[1]
+                rows.append((name, r, c, *o, high, wide, None if whole else "not_rectangular"))
+            yield pd.DataFrame(rows, columns=[key, "row", "col", "owner_row", "owner_col", "row_span", "col_span", "problem"]).astype({n: "Int32" for n in ("row", "col", "owner_row", "owner_col", "row_span", "col_span")})
+
+    known = cells.where(F.col(key).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull()).select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "token")
+    return on_whole_groups(known, [key], merge, f"{key} {kind}, row int, col int, owner_row int, owner_col int, row_span int, col_span int, problem string")
+
+
+def line_units(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, unit_no, unit): one elementary unit a line that is not blank, trimmed, numbered from 1."""
+    lines = F.filter(F.transform(F.split(F.col(text), r"\r\n|\r|\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    return documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.posexplode(lines).alias("i", "unit")).select(key, (F.col("i") + 1).alias("unit_no"), "unit")
+
+
+def folds(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Adds ``fold``, 0 to k - 1, from the digest of the key; equal keys share a fold, a null key has none."""
+    return rows.withColumn("fold", (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % k))

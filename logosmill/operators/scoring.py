@@ -210,3 +210,33 @@ def concept_metrics(gold: DataFrame, pred: DataFrame, place: list[str]) -> DataF
         n(hit & F.array_contains("targets", F.col("target"))).alias("canonical_correct"), n(F.size("targets") > 1).alias("ambiguous"), n(F.col("_g").isNull()).alias("spurious"),
         n(F.size("targets") == 0).alias("unmapped"))
     return counts.select("*", F.try_divide("correct", "predicted").alias("precision"), F.try_divide("correct", "gold").alias("recall"), F.try_divide("canonical_correct", "canonical").alias("canonical_recall"))
+
+
+def temperature(rows: DataFrame, scores: str = "scores", target: str = "target", rounds: int = 60) -> float | None:
+    """The temperature that makes the targets (0-based places in the arrays of scores) likeliest; None without rows.
+
+    The likelihood is concave in the inverse temperature, so Newton steps kept inside a
+    bracket find its only root of slope.  A round is one aggregation; only sums come back.
+    """
+    known = rows.where(F.col(target).isNotNull() & (F.size(scores) > 0)).select(F.transform(scores, lambda x: x.cast("double")).alias("s"), F.col(target).cast("int").alias("t"))
+    add = lambda a, x: a + x
+    low, high, beta = 1e-3, 1e3, 1.0
+    for _ in range(rounds):
+        b = F.lit(beta)
+        weight = F.transform("s", lambda x: F.exp(b * (x - F.array_max("s"))))
+        rows_ = known.select("s", "t", weight.alias("w")).withColumn("z", F.aggregate("w", F.lit(0.0), add))
+        mean = F.aggregate(F.zip_with("s", "w", lambda x, w: x * w), F.lit(0.0), add) / F.col("z")
+        square = F.aggregate(F.zip_with("s", "w", lambda x, w: x * x * w), F.lit(0.0), add) / F.col("z")
+        slope, bend, n = rows_.select(F.get("s", F.col("t")).alias("own"), mean.alias("m"), square.alias("q")).agg(F.sum(F.col("own") - F.col("m")), F.sum(F.col("q") - F.col("m") * F.col("m")), F.count("*")).first()
+        if not n:
+            return None
+        if slope > 0:
+            low = beta
+        else:
+            high = beta
+        step = beta + slope / bend if bend > 0 else beta
+        new = step if low < step < high else (low * high) ** 0.5
+        if abs(new - beta) <= 1e-9 * beta:
+            break
+        beta = new
+    return 1 / beta

@@ -339,3 +339,64 @@ def recombined(nodes: DataFrame, units: DataFrame) -> DataFrame:
         "doc_id", none("unit_no"), big(F.col("_root"), "node_id"), none("parent_id"), none("relation"), none("nuclearity"), big(F.lit(1), "first_edu"), big(F.col("_n"), "last_edu"),
         big(F.lit(0), "start_pos"), big(F.col("_stop"), "stop_pos"), none("local_id"))
     return rows.unionByName(root)
+
+
+def diagnostics(nodes: DataFrame) -> DataFrame:
+    """(tree_id, edus, depth, skew, relations) of annotated trees; nodes on or below cycles count for no depth.
+
+    skew is the depth over that of a balanced tree of as many elementary units, which is
+    1 at least; relations are parents with a child whose label is not 'span'.
+    """
+    deep = H.hierarchy(_links(nodes)).groupBy("tree_id").agg(F.max("depth").alias("depth"))
+    counts = nodes.groupBy("tree_id").agg(
+        F.count(F.when(F.col("kind") == "edu", 1)).alias("edus"),
+        F.countDistinct(F.when(F.col("relname").isNotNull() & (F.col("relname") != "span") & F.col("parent").isNotNull(), F.col("parent"))).alias("relations"))
+    balanced = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("edus"), F.lit(1))))).cast("int")
+    return counts.join(deep, "tree_id", "left").select("tree_id", "edus", F.coalesce("depth", F.lit(0)).alias("depth"), F.round(F.coalesce("depth", F.lit(0)) / balanced, 2).alias("skew"), "relations")
+
+
+def graph_edges(nodes: DataFrame, signals: DataFrame) -> DataFrame:
+    """(tree_id, src, dst, edge_id, relation, signals): the trees as a keyed multigraph; signals (tree_id, edge_id, signal_type) are listed by type."""
+    edges = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("src"), F.col("id").alias("dst"), F.concat(F.lit("e"), F.col("id")).alias("edge_id"), F.col("relname").alias("relation"))
+    listed = signals.groupBy("tree_id", "edge_id").agg(F.array_join(F.sort_array(F.collect_list("signal_type")), ",").alias("signals"))
+    return edges.join(listed, ["tree_id", "edge_id"], "left").select("tree_id", "src", "dst", "edge_id", "relation", "signals")
+
+
+def json_ld(nodes: DataFrame, base: str = "http://example.org/discourse/") -> DataFrame:
+    """(tree_id, document): each tree's nodes and edges as one JSON-LD text, nodes by id, then edges by child."""
+    place = F.concat(F.lit("doc:node_"), F.col("id"))
+    node = F.struct(place.alias("@id"), F.when(F.col("kind") == "edu", "ElementaryDiscourseUnit").otherwise("ComplexDiscourseUnit").alias("@type"), F.col("contents").alias("text"))
+    edge = F.when(F.col("parent").isNotNull(), F.struct(
+        F.concat(F.lit("doc:edge_"), F.col("id")).alias("@id"), F.lit("PrimaryDiscourseRelation").alias("@type"), F.concat(F.lit("doc:node_"), F.col("parent")).alias("hasParent"), place.alias("hasChild"),
+        F.col("relname").alias("relationRaw")))
+    # Texts of one kind each, so that every part has its own fields.
+    rows = nodes.groupBy("tree_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", F.to_json(node).alias("j")))), lambda x: x["j"]).alias("ns"),
+        F.transform(F.sort_array(F.collect_list(F.when(edge.isNotNull(), F.struct("id", F.to_json(edge).alias("j"))))), lambda x: x["j"]).alias("es"))
+    head = F.to_json(F.struct(F.concat(F.lit(base), F.col("tree_id")).alias("@id"), F.lit("DiscourseDocument").alias("@type")))
+    context = F.to_json(F.struct(F.struct(F.concat(F.lit(base), F.col("tree_id"), F.lit("#")).alias("doc")).alias("@context")))
+    return rows.select("tree_id", F.concat(F.regexp_replace(context, r"\}$", ""), F.lit(',"@graph":['), F.array_join(F.concat(F.array(head), "ns", "es"), ","), F.lit("]}")).alias("document"))
+
+
+def target_rows(spans: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, nuc, rel) of binary spans (key, s, e, nuc, rel), 0-based; elementary ones have -100 for both classes. Spans given twice count once."""
+    leaf = F.col("s") == F.col("e")
+    return spans.where("s is not null and e is not null").groupBy(key, "s", "e").agg(F.min("nuc").alias("nuc"), F.min("rel").alias("rel")).select(
+        key, (F.col("s") - 1).alias("i"), (F.col("e") - 1).alias("j"), F.when(leaf, -100).otherwise(F.col("nuc")).alias("nuc"), F.when(leaf, -100).otherwise(F.col("rel")).alias("rel"))
+
+
+def tree_of_table(rows: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, parent_id, side, s, e, label): the tree of decisions (key, s, e, split, label), split being the last unit of the left part.
+
+    Nodes are numbered from 0 by falling length, then place.  Parts of one unit are
+    nodes without a decision of their own; a part of more units without one has a null
+    label, as has a table that :func:`table_violations` complains of.
+    """
+    one = rows.groupBy(key, "s", "e").agg(F.min(F.struct("split", "label")).alias("d")).select(key, "s", "e", "d.split", "d.label")
+    parts = one.select(key, F.col("s").alias("ps"), F.col("e").alias("pe"), F.explode(F.array(
+        F.struct(F.lit("left").alias("side"), F.col("s").alias("s"), F.col("split").alias("e")), F.struct(F.lit("right").alias("side"), (F.col("split") + 1).alias("s"), F.col("e").alias("e")))).alias("x")).select(key, "ps", "pe", "x.*")
+    spans = one.select(key, "s", "e").unionByName(parts.select(key, "s", "e")).distinct().join(one.select(key, "s", "e", "label"), [key, "s", "e"], "left").join(
+        parts.groupBy(key, "s", "e").agg(F.min(F.struct("ps", "pe", "side")).alias("up")), [key, "s", "e"], "left")
+    numbered = spans.withColumn("node_id", F.row_number().over(Window.partitionBy(key).orderBy((F.col("s") - F.col("e")), "s")) - 1)
+    up = numbered.select(key, F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("node_id").alias("parent_id"))
+    return numbered.withColumns({"ps": F.col("up.ps"), "pe": F.col("up.pe"), "side": F.col("up.side")}).join(up, [key, "ps", "pe"], "left").select(key, "node_id", "parent_id", "side", "s", "e", "label")
