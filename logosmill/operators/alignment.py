@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +118,58 @@ def figure_evidence(scheme: Column, quote: Column) -> Column:
     words = F.regexp_extract_all(F.lower(quote), F.lit(r"([\p{L}\p{N}_]*\p{L}[\p{L}\p{N}_]*)"), F.lit(1))
     repeated = F.size(F.array_distinct(words)) < F.size(words)
     return F.when((scheme == "rhetorical_question") & ~quote.rlike("[?？]"), "question_mark").when(scheme.isin("anaphora", "epistrophe", "chiasmus") & ~repeated, "repeated_word")
+
+
+def stored_text(text: Column, source: Column, start: Column, stop: Column) -> Column:
+    """What is stored of a node's text: null where its range of the source says the same; a range outside the source keeps the text."""
+    inside = (start >= 0) & (stop >= start) & (stop <= F.length(source))
+    return F.when(inside & (F.substring(source, start + 1, stop - start) == text), None).otherwise(text)
+
+
+def resolved_text(stored: Column, source: Column, start: Column, stop: Column) -> Column:
+    """The inverse of :func:`stored_text`."""
+    return F.coalesce(stored, F.substring(source, start + 1, stop - start))
+
+
+def realigned(units: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """(key, unit_no, text): units (key, unit_no, text) put together again from tokens (key, ord, token).
+
+    A unit takes tokens until they have as many characters as it has without white space;
+    where a token crosses a border, the next unit begins after it and counts from there.
+    A unit without characters is empty.  A document's units are folded in order, because a
+    border depends on all before it.
+    """
+    size = F.length(F.regexp_replace("text", r"\s+", "")).alias("n")
+    us = units.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("unit_no", size))).alias("us"))
+    ts = tokens.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "token"))), lambda t: t["token"]).alias("ts"))
+
+    @F.pandas_udf("array<struct<unit_no:bigint,text:string>>")
+    def join(us: pd.Series, ts: pd.Series) -> pd.Series:
+        def one(unit_rows, words):
+            out, at, words = [], 0, list(words) if words is not None else []
+            for u in unit_rows:
+                begin, n = at, 0
+                while at < len(words) and n < u["n"]:
+                    n += len(words[at])
+                    at += 1
+                out.append({"unit_no": u["unit_no"], "text": " ".join(words[begin:at]).strip()})
+            return out
+
+        return pd.Series([one(u, t) for u, t in zip(us, ts)])
+
+    return us.join(ts, key, "left").select(key, F.inline(join("us", "ts")))
+
+
+def phrase_matches(tokens: DataFrame, phrases: list[str], key: str) -> DataFrame:
+    """(key, ord, stop, phrase): all places, overlapping ones included, where lower-case tokens (key, ord, token) spell one of the phrases; ord counts without gaps."""
+    lexicon = [(p, p.split()) for p in dict.fromkeys(" ".join(p.lower().split()) for p in phrases) if p]
+    if not lexicon:
+        return tokens.where("false").select(key, "ord", F.col("ord").alias("stop"), F.lit("").alias("phrase"))
+    firsts = sorted({ws[0] for _, ws in lexicon})
+    w = Window.partitionBy(key).orderBy("ord")
+    most = max(len(ws) for _, ws in lexicon)
+    low = F.lower("token")
+    ahead = tokens.withColumn("_w", F.array(low, *[F.lead(low, i).over(w) for i in range(1, most)])).where(low.isin(*firsts))
+    table = tokens.sparkSession.createDataFrame(lexicon, "phrase string, words array<string>").withColumn("first", F.get("words", F.lit(0)))
+    hit = ahead.withColumn("first", low).join(F.broadcast(table), "first").where(F.slice("_w", F.lit(1), F.size("words")) == F.col("words"))  # a literal list
+    return hit.select(key, "ord", (F.col("ord") + F.size("words")).alias("stop"), "phrase")

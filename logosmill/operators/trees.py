@@ -400,3 +400,30 @@ def tree_of_table(rows: DataFrame, key: str) -> DataFrame:
     numbered = spans.withColumn("node_id", F.row_number().over(Window.partitionBy(key).orderBy((F.col("s") - F.col("e")), "s")) - 1)
     up = numbered.select(key, F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("node_id").alias("parent_id"))
     return numbered.withColumns({"ps": F.col("up.ps"), "pe": F.col("up.pe"), "side": F.col("up.side")}).join(up, [key, "ps", "pe"], "left").select(key, "node_id", "parent_id", "side", "s", "e", "label")
+
+
+def build_actions(spans: DataFrame, key: str) -> DataFrame:
+    """(key, step, action, s, e): shifts of units and reductions of spans (key, s, e) in the order in which a bottom-up parser makes them. Spans given twice count once."""
+    w = Window.partitionBy(key).orderBy("e", F.col("e") - F.col("s"))
+    once = spans.where("s is not null and e is not null").select(key, "s", "e").distinct()
+    return once.select(key, (F.row_number().over(w) - 1).alias("step"), F.when(F.col("s") == F.col("e"), "shift").otherwise("reduce").alias("action"), "s", "e")
+
+
+def tree_paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, source_id, target_id, path): the shortest way through the tree between two nodes, as the labels passed.
+
+    A step up to a parent reads '<relation', one down to a child '>relation'.  A node's
+    path to itself is empty; nodes of different trees, or on or below cycles, have none.
+    """
+    ways = H.hierarchy(_links(nodes)).select("tree_id", "id", "path").join(nodes.select("tree_id", "id", F.coalesce("relname", F.lit("")).alias("r")), ["tree_id", "id"])
+    # Labels along a node's path from the root, in the path's order.
+    steps = ways.select("tree_id", "id", F.posexplode("path").alias("i", "on")).join(ways.select("tree_id", F.col("id").alias("on"), "r"), ["tree_id", "on"])
+    labelled = steps.groupBy("tree_id", "id").agg(F.sort_array(F.collect_list(F.struct("i", "on", "r"))).alias("p"))
+    a = labelled.select("tree_id", F.col("id").alias("source_id"), F.col("p").alias("a"))
+    b = labelled.select("tree_id", F.col("id").alias("target_id"), F.col("p").alias("b"))
+    both = pairs.select("tree_id", "source_id", "target_id").distinct().join(a, ["tree_id", "source_id"]).join(b, ["tree_id", "target_id"])
+    shared = F.size(F.filter("a", lambda x: F.exists("b", lambda y: (x["i"] == y["i"]) & (x["on"] == y["on"]))))
+    joined = both.withColumn("k", shared).where("k > 0")
+    up = F.transform(F.reverse(F.slice("a", F.col("k") + 1, F.size("a"))), lambda x: F.concat(F.lit("<"), x["r"]))
+    down = F.transform(F.slice("b", F.col("k") + 1, F.size("b")), lambda x: F.concat(F.lit(">"), x["r"]))
+    return joined.select("tree_id", "source_id", "target_id", F.array_join(F.concat(up, down), " ").alias("path"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logosmill.operators import alignment as A
 from logosmill.operators import annotations as N
 from logosmill.operators import preparation as P
+from logosmill.operators import substrate as S
 from logosmill.operators import trees as T
+from logosmill.operators import viewer as V
 from logosmill.plans.scoring_queries import brackets
 from logosmill.plans.structure_queries import _DOWN, _LINKS
 from logosmill.plans.tree_queries import _nodes
@@ -86,8 +89,75 @@ def json_ld(spark, d):
     return T.json_ld(_nodes(spark, d))
 
 
+def _relations(nodes):
+    """Relations as declared by use: 'multinuc' where a multinuclear node's child has it."""
+    kinds = nodes.select("tree_id", F.col("id").alias("parent"), F.col("kind").alias("pk"))
+    used = nodes.where("relname is not null").join(kinds, ["tree_id", "parent"])
+    return used.select("tree_id", "relname", F.when(F.col("pk") == "multinuc", "multinuc").otherwise("rst").alias("reltype")).distinct()
+
+
+def node_facts(spark, d):
+    nodes = _nodes(spark, d)
+    return V.node_facts(nodes, _relations(nodes))
+
+
+def default_relations(spark, d):
+    return V.default_relations(_relations(_nodes(spark, d)))
+
+
+def moved_nodes(spark, d):
+    """Elementary units hung on their tree's root, and their relation renamed where they have one."""
+    nodes = _nodes(spark, d)
+    roots = nodes.where("parent is null").groupBy("tree_id").agg(F.min("id").alias("root"))
+    edits = nodes.where("kind = 'edu' and parent is not null").join(roots, "tree_id").select("tree_id", "id", F.col("root").alias("parent"), F.when(F.length("id") == 2, "moved").alias("relname"))
+    return V.with_parent(nodes, edits).select("tree_id", "id", "parent", "relname")
+
+
+def pruned_trees(spark, d):
+    """Trees without what hangs under their multinuclear nodes."""
+    nodes = _nodes(spark, d)
+    return V.without_subtrees(nodes, nodes.where("kind = 'multinuc'")).select("tree_id", "id")
+
+
+def parser_actions(spark, d):
+    out = T.build_actions(brackets(spark, d)[0].where("s <= e"), "doc_id")
+    return out.select("doc_id", "action", *[F.col(c).cast("bigint").alias(c) for c in ("step", "s", "e")])
+
+
+def stored_boundaries(spark, d):
+    """The stated texts of boundaries that differ from their range of the document."""
+    rows = table(spark, d, "rst_documents").groupBy("document_id").agg(F.min("text").alias("t"), F.min("sentence_boundaries").alias("b")).select("document_id", "t", F.posexplode("b").alias("i", "s"))
+    kept = A.stored_text(F.col("s.text"), F.col("t"), F.col("s.start_pos"), F.col("s.end_pos"))
+    return rows.select("document_id", F.col("i").cast("bigint").alias("place"), kept.alias("stored"))
+
+
+def _words(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \\n\\r\\t]+"), lambda x: x != "")).alias("ord", "token"))
+
+
+def phrase_places(spark, d):
+    out = A.phrase_matches(_words(spark, d), ["of the", "the", "in the", "of the the", "that the"], "doc_id")
+    return out.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.col("stop").cast("bigint").alias("stop"), "phrase")
+
+
+def realigned_sentences(spark, d):
+    """Sentences of documents put together again from their words."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    s = S.simple_sentences(docs).join(docs, "doc_id").select("doc_id", F.col("sentence_no").cast("bigint").alias("unit_no"), F.expr("substring(text, cast(start_pos as int) + 1, cast(stop_pos - start_pos as int))").alias("text"))
+    return A.realigned(s, _words(spark, d), "doc_id")
+
+
+def tree_paths(spark, d):
+    """Ways between the first and the last child of every node."""
+    nodes = _nodes(spark, d)
+    pairs = nodes.where("parent is not null").groupBy("tree_id", "parent").agg(F.min("id").alias("source_id"), F.max("id").alias("target_id")).where("source_id <> target_id")
+    return T.tree_paths(nodes, pairs)
+
+
 QUERIES = {f.__name__: f for f in (
-    request_outcomes, outcome_summaries, label_concepts, element_classes, line_units, document_folds, tree_diagnostics, multigraph_edges, target_rows, trees_of_tables, json_ld)}
+    request_outcomes, outcome_summaries, label_concepts, element_classes, line_units, document_folds, tree_diagnostics, multigraph_edges, target_rows, trees_of_tables, json_ld,
+    node_facts, default_relations, moved_nodes, pruned_trees, parser_actions, stored_boundaries, phrase_places, realigned_sentences, tree_paths)}
 
 _NODES = """n AS (SELECT concat_ws('/', coalesce(project, ''), coalesce(user_name, ''), coalesce(doc, '')) AS tree_id, id, min(CASE WHEN trim(parent) IN ('', '0') THEN NULL ELSE parent END) AS parent,
 min(kind) AS kind, min(relname) AS relname, min(contents) AS contents FROM rst_nodes WHERE id IS NOT NULL GROUP BY 1, 2)"""
@@ -124,4 +194,23 @@ SELECT tree_id, edus, coalesce(depth, 0) AS depth, round(coalesce(depth, 0) / gr
 p AS (SELECT c.doc_id, c.id AS node_id, q.id AS parent_id, CASE WHEN q.id IS NULL THEN NULL WHEN c.s = q.s THEN 'left' ELSE 'right' END AS side, c.s, c.e, CASE WHEN c.s < c.e THEN 'r' || c.rel END AS label
   FROM x c LEFT JOIN x q ON q.doc_id = c.doc_id AND q.s < q.e AND ((q.s = c.s AND (q.s + q.e) // 2 = c.e) OR ((q.s + q.e) // 2 + 1 = c.s AND q.e = c.e)))
 SELECT doc_id, node_id, parent_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, side, label FROM p""",
+    "node_facts": f"""WITH {_NODES}, r AS (SELECT DISTINCT c.tree_id, c.relname, CASE WHEN p.kind = 'multinuc' THEN 'multinuc' ELSE 'rst' END AS ty FROM n c JOIN n p ON p.tree_id = c.tree_id AND p.id = c.parent WHERE c.relname IS NOT NULL),
+q AS (SELECT tree_id, relname, min(ty) AS ty FROM r GROUP BY 1, 2), e AS (SELECT concat_ws('/', coalesce(project, ''), coalesce(user_name, ''), coalesce(doc, '')) AS tree_id, id, min(left_edge) AS l, min(right_edge) AS r FROM rst_nodes WHERE id IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT n.tree_id, n.parent AS id, count(*) AS k, count(*) FILTER (q.ty = 'multinuc') AS m, min(e.l) AS f, max(e.r) AS g FROM n LEFT JOIN q USING (tree_id, relname) JOIN e ON e.tree_id = n.tree_id AND e.id = n.id WHERE n.parent IS NOT NULL GROUP BY 1, 2)
+SELECT n.tree_id, n.id, n.kind, n.relname, q.ty AS reltype, coalesce(k, 0) AS children, coalesce(m, 0) AS multinuc_children, f AS first_child, g AS last_child FROM n LEFT JOIN q USING (tree_id, relname) LEFT JOIN b USING (tree_id, id)""",
+    "default_relations": f"""WITH {_NODES}, r AS (SELECT c.tree_id, c.relname, CASE WHEN p.kind = 'multinuc' THEN 'multinuc' ELSE 'rst' END AS reltype FROM n c JOIN n p ON p.tree_id = c.tree_id AND p.id = c.parent WHERE c.relname IS NOT NULL)
+SELECT tree_id, reltype, min(relname) AS relname FROM r GROUP BY 1, 2""",
+    "moved_nodes": f"""WITH {_NODES}, t AS (SELECT tree_id, min(id) AS root FROM n WHERE parent IS NULL GROUP BY 1)
+SELECT tree_id, id, CASE WHEN kind = 'edu' AND parent IS NOT NULL AND root IS NOT NULL THEN root ELSE parent END AS parent, CASE WHEN kind = 'edu' AND parent IS NOT NULL AND root IS NOT NULL AND length(id) = 2 THEN 'moved' ELSE relname END AS relname FROM n LEFT JOIN t USING (tree_id)""",
+    "pruned_trees": f"""WITH RECURSIVE {_NODES}, gone AS (SELECT tree_id, id FROM n WHERE kind = 'multinuc' UNION SELECT n.tree_id, n.id FROM n JOIN gone ON gone.tree_id = n.tree_id AND gone.id = n.parent) SELECT tree_id, id FROM n ANTI JOIN gone USING (tree_id, id)""",
+    "parser_actions": f"WITH RECURSIVE {_GOLD} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e, e - s) - 1 AS step, CASE WHEN s = e THEN 'shift' ELSE 'reduce' END AS action, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM g",
+    "stored_boundaries": """WITH r AS (SELECT document_id, min(text) AS t, min(sentence_boundaries) AS b FROM rst_documents GROUP BY 1), e AS (SELECT document_id, t, b, unnest(range(0, len(b))) AS k FROM r)
+SELECT document_id, k AS place, CASE WHEN NOT coalesce(b[k + 1].start_pos >= 0 AND b[k + 1].end_pos >= b[k + 1].start_pos AND b[k + 1].end_pos <= length(t) AND substr(t, b[k + 1].start_pos + 1, b[k + 1].end_pos - b[k + 1].start_pos) = b[k + 1].text, false) THEN b[k + 1].text END AS stored FROM e""",
+    "phrase_places": r"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda x: x <> ''), lambda x: lower(x)) AS w FROM documents), p(phrase) AS (VALUES ('of the'), ('the'), ('in the'), ('of the the'), ('that the')),
+e AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w)
+SELECT doc_id, i AS ord, i + len(string_split(phrase, ' ')) AS stop, phrase FROM e, p WHERE w[i + 1 : i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')""",
+    "tree_paths": f"""WITH {_NODES}, k AS (SELECT tree_id, parent, min(id) AS a, max(id) AS b FROM n WHERE parent IS NOT NULL GROUP BY 1, 2),
+good AS (SELECT tree_id, id FROM d)
+SELECT k.tree_id, a AS source_id, b AS target_id, '<' || coalesce(x.relname, '') || ' >' || coalesce(y.relname, '') AS path FROM k JOIN n x ON x.tree_id = k.tree_id AND x.id = a JOIN n y ON y.tree_id = k.tree_id AND y.id = b
+JOIN n p ON p.tree_id = k.tree_id AND p.id = k.parent JOIN good g ON g.tree_id = k.tree_id AND g.id = a WHERE a <> b""".replace("WITH ", f"WITH RECURSIVE {_LINKS}, {_DOWN}, d AS (SELECT tree_id, id FROM down WHERE tree_table = 'rst_nodes'), ", 1),
 }
