@@ -189,13 +189,30 @@ def _masked_spans(text: Column) -> Column:
     return spans(text)
 
 
+def _merged(steps: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Neighbouring steps as one pattern: a mark that one of them masks looks to the others as it did before.
+
+    Only the list marks need a pass of their own, as a mark that is masked by then ends
+    no sentence before them.
+    """
+    out: list[tuple[str, str]] = []
+    for pattern, replacement in steps:
+        alone = _LIST_MARK in pattern
+        if out and not alone and _LIST_MARK not in out[-1][0]:
+            out[-1] = (f"{out[-1][0]}|(?:{pattern})", replacement)
+        else:
+            out.append((pattern if alone else f"(?:{pattern})", replacement))
+    return out
+
+
 def masked(text: Column) -> Column:
     """``text`` with every terminator that ends nothing replaced by a placeholder."""
-    before, after = _steps()
-    for pattern, replacement in before:
+    (private, after_private), *before = _steps()[0]
+    text = F.when(text.contains(MASK) | text.contains(CUT), F.regexp_replace(text, private, after_private)).otherwise(text)
+    for pattern, replacement in _merged(before):
         text = F.regexp_replace(text, pattern, replacement)
     text = _masked_spans(text)
-    for pattern, replacement in after:
+    for pattern, replacement in _merged(_steps()[1]):
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
