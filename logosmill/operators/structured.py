@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logosmill.session import spread
+
 CAPACITY = 128  # fixed value
 
 
@@ -135,17 +137,25 @@ def evaluate(theory: dict) -> dict:
         return {"status": "cyclic_preferences"}
     how = (*orders, theory.get("ordering_principle") or "last_link", theory.get("set_comparison") or "elitist")
     ordinary = set(theory.get("premises") or [])
-    attacks = []
+    # By symbol: who claims it, and what is against it, so only pairs that clash are looked at.
+    claimed: dict[str, list[Arg]] = {}
     for a in args:
-        for t in args:
-            for s in t.subs.values():
-                hits = (a.claim, s.claim) in against
-                kind = "undermining" if s.rule is None and s.claim in ordinary else "rebutting" if s.defeasible else None
-                if kind and hits:
-                    wins = not ((a.claim, s.claim) in mutual and preferred(s, a, *how))
-                    attacks.append((a.id, t.id, s.id, kind, wins))
-                if s.defeasible and ((a.claim, s.rule) in against or a.claim == f"~{s.rule}"):
-                    attacks.append((a.id, t.id, s.id, "undercutting", True))
+        claimed.setdefault(a.claim, []).append(a)
+    clashing: dict[str, list[str]] = {}
+    for x, y in sorted(against):
+        clashing.setdefault(y, []).append(x)
+    place = {a.id: i for i, a in enumerate(args)}
+    rows = []
+    for t in args:
+        for n, s in enumerate(t.subs.values()):
+            kind = "undermining" if s.rule is None and s.claim in ordinary else "rebutting" if s.defeasible else None
+            for symbol in clashing.get(s.claim, ()) if kind else ():
+                for a in claimed.get(symbol, ()):
+                    wins = not ((symbol, s.claim) in mutual and preferred(s, a, *how))
+                    rows.append((place[a.id], place[t.id], n, 0, (a.id, t.id, s.id, kind, wins)))
+            for symbol in dict.fromkeys([*clashing.get(s.rule, ()), f"~{s.rule}"]) if s.defeasible else ():
+                rows += [(place[a.id], place[t.id], n, 1, (a.id, t.id, s.id, "undercutting", True)) for a in claimed.get(symbol, ())]
+    attacks = [row[4] for row in sorted(rows, key=lambda r: r[:4])]
     return {
         "status": "ok",
         "arguments": [(a.id, a.claim, a.rule, [p.id for p in a.parts], sorted(a.premises), sorted(a.defeasible_rules)) for a in args],
@@ -200,7 +210,7 @@ def evaluated(theories: DataFrame) -> DataFrame:
                 rows += [(i, "defeat", a, t, None) for a, t in r["defeats"]]
             yield pd.DataFrame(rows, columns=["theory_id", "kind", "a", "b", "detail"])
 
-    return theories.select("theory_id", "theory").mapInPandas(run, "theory_id string, kind string, a string, b string, detail string")
+    return spread(theories.select("theory_id", "theory"), "theory_id").mapInPandas(run, "theory_id string, kind string, a string, b string, detail string")
 
 
 def framework(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -76,3 +76,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 1
     size = F.octet_length(F.to_json(F.struct("*"))).cast("bigint")
     n, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
     return F.broadcast(df) if n <= max_rows and (held or 0) <= max_bytes else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as the session shuffles into, or as it has cores.
+
+    For work that is heavy for its bytes: adaptive coalescing, which goes by bytes, would
+    leave it to a few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
