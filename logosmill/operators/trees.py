@@ -123,13 +123,24 @@ def triples(nodes: DataFrame, base: str = "https://data.example/discourse/", ns:
     return nodes.select(F.explode(every).alias("t")).select("t.*").where("object is not null")
 
 
+# Characters that an IRI must not have as they are, and escapes in literals, in order.
+IRI_ESCAPES = {" ": "%20", "<": "%3C", ">": "%3E", '"': "%22", "{": "%7B", "}": "%7D", "|": "%7C", "^": "%5E", "`": "%60", "\\": "%5C", "\n": "%0A", "\r": "%0D", "\t": "%09"}
+LITERAL_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def _replaced(text: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def turtle(statements: DataFrame) -> DataFrame:
-    """One Turtle line a statement; literals escaped, other objects as IRIs or numbers."""
+    """One Turtle line a statement; literals escaped, other objects as IRIs, percent-encoded, or numbers."""
     literal = F.col("object").startswith('"')
     inner = F.expr("substring(object, 2, length(object) - 2)")
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    obj = F.when(literal, F.concat(F.lit('"'), escaped, F.lit('"'))).when(F.col("object").rlike("^-?[0-9]+$"), F.col("object")).otherwise(F.concat(F.lit("<"), F.regexp_replace("object", " ", "%20"), F.lit(">")))
-    return statements.select(F.concat(F.lit("<"), F.regexp_replace("subject", " ", "%20"), F.lit("> <"), "predicate", F.lit("> "), obj, F.lit(" .")).alias("value"))
+    iri = lambda c: F.concat(F.lit("<"), _replaced(F.col(c), IRI_ESCAPES), F.lit(">"))
+    obj = F.when(literal, F.concat(F.lit('"'), _replaced(inner, LITERAL_ESCAPES), F.lit('"'))).when(F.col("object").rlike("^-?[0-9]+$"), F.col("object")).otherwise(iri("object"))
+    return statements.select(F.concat(iri("subject"), F.lit(" "), iri("predicate"), F.lit(" "), obj, F.lit(" .")).alias("value"))
 
 
 def chunks(nodes: DataFrame) -> DataFrame:

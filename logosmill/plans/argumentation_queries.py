@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logosmill.operators import argumentation as A
@@ -111,9 +111,19 @@ def af_from_walton(spark, d):
     return A.from_walton(o.join(lines, "ord").select("af_id", "ord", "questions"))[1]
 
 
+def large_frameworks(spark, d):
+    """Grounded extensions of one framework a supplier, of its larger orders in a chain: up to some ninety arguments."""
+    lines = table(spark, d, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("af_id"), F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    after = F.lead("k").over(Window.partitionBy("af_id").orderBy("k"))
+    rows = lines.withColumn("next", after)
+    args = rows.select(F.col("af_id").cast("string").alias("af_id"), F.col("k").cast("string").alias("arg"), F.col("k").alias("ord"))
+    attacks = rows.where("next is not null and k % 3 > 0").select(F.col("af_id").cast("string").alias("af_id"), F.col("k").cast("string").alias("src"), F.col("next").cast("string").alias("dst"))
+    return A.extensions(args, attacks, ("grounded",)).select("af_id", "semantics", F.size("members").cast("bigint").alias("n"), F.md5(F.array_join("members", ",")).alias("digest"))
+
+
 QUERIES = {f.__name__: f for f in (
     af_validation, af_cleanup, grounded_extension, complete_extensions, preferred_extensions, stable_extensions, set_predicates,
-    acceptance_counts, af_from_ibis, af_from_mining, af_from_toulmin, af_from_walton)}
+    acceptance_counts, af_from_ibis, af_from_mining, af_from_toulmin, af_from_walton, large_frameworks)}
 
 _AF = """
 lines AS (SELECT l_orderkey AS af_id, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
@@ -164,4 +174,8 @@ SELECT af_id, concat(dst, '_rebuttal_', k) AS src, dst FROM (SELECT af_id, dst,
     "af_from_walton": """WITH o AS (SELECT o_custkey AS af_id, o_orderkey, concat('scheme_', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS dst
 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
 SELECT af_id, concat(dst, '_cq_', l_linenumber) AS src, dst FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A')""",
+    "large_frameworks": """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS k FROM lineitem WHERE l_quantity >= 45), o AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY k) AS i FROM l),
+r AS (SELECT g, i, k, true AS held FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, o.k, NOT (r.held AND r.k % 3 > 0) FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1),
+n AS (SELECT g, count(*) AS all_, count(*) FILTER (held) AS n, coalesce(string_agg(CASE WHEN held THEN CAST(k AS VARCHAR) END, ',' ORDER BY k), '') AS m FROM r GROUP BY 1)
+SELECT CAST(g AS VARCHAR) AS af_id, CASE WHEN all_ > 128 THEN 'capacity_exceeded' ELSE 'grounded' END AS semantics, CASE WHEN all_ > 128 THEN 0 ELSE n END AS n, md5(CASE WHEN all_ > 128 THEN '' ELSE m END) AS digest FROM n""",
 }

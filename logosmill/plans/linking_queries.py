@@ -52,6 +52,13 @@ def structured_defeats(spark, d):
     return out.groupBy("theory_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}s") for k in ("argument", "attack", "defeat")])
 
 
+def theory_frameworks(spark, d):
+    """The defeat graph of every theory as an abstract framework: its arguments and attacks."""
+    args, attacks = A.framework(A.evaluated(rule_theories(spark, d)))
+    n = args.groupBy("af_id").agg(F.count("*").alias("arguments"), F.max("ord").cast("bigint").alias("last"))
+    return n.join(attacks.groupBy("af_id").agg(F.count("*").alias("attacks")), "af_id", "left").select("af_id", "arguments", "last", F.coalesce("attacks", F.lit(0)).alias("attacks"))
+
+
 def attack_cycles(spark, d):
     """Attacks on or between cycles of the derived frameworks."""
     _, attacks = frameworks(spark, d)
@@ -93,7 +100,7 @@ def canonical_payloads(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    concept_links, concept_coverage, structured_defeats, attack_cycles, attack_components, edge_candidates, edge_decoding, aligned_findings, canonical_payloads)}
+    concept_links, concept_coverage, structured_defeats, theory_frameworks, attack_cycles, attack_components, edge_candidates, edge_decoding, aligned_findings, canonical_payloads)}
 
 _ATT = """l AS (SELECT l_orderkey AS g, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
 e AS (SELECT DISTINCT a.g, CAST(a.i AS VARCHAR) AS src, CAST(b.i AS VARCHAR) AS dst FROM l a JOIN l b USING (g) WHERE (a.p + b.s) % 4 = 0 AND (a.i <> b.i OR a.p % 11 = 0))"""
@@ -149,3 +156,5 @@ j AS (SELECT *, p * q AS j, CASE WHEN a = b THEN 'self_loop' WHEN p * q < 0.1 TH
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, a, b, reason IS NULL ORDER BY j DESC, r) AS n FROM j)
 SELECT coalesce(reason, CASE WHEN n = 1 THEN 'accepted' ELSE 'duplicate_pair' END) AS decision, count(*) AS n FROM k GROUP BY 1""",
 }
+
+ORACLES["theory_frameworks"] = f"SELECT theory_id AS af_id, arguments, arguments AS last, defeats AS attacks FROM ({ORACLES['structured_defeats']})"

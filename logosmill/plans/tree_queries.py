@@ -164,3 +164,15 @@ CASE WHEN kind = 'edu' THEN trim(regexp_replace(coalesce(contents, ''), '\s+', '
 i AS (SELECT tree_id, id, left_edge AS f, right_edge AS l FROM n WHERE kind <> 'edu' AND left_edge IS NOT NULL AND right_edge IS NOT NULL)
 SELECT c.tree_id, c.id AS cue_id, min(CASE WHEN i.id IS NOT NULL THEN ROW(i.l - i.f, i.id) END)[2] AS node_id FROM c LEFT JOIN i ON i.tree_id = c.tree_id AND i.f <= c.s AND c.s + 1 <= i.l GROUP BY 1, 2""",
 }
+
+
+def _escaped(expression, pairs):
+    chars = lambda x: " || ".join(f"chr({ord(c)})" for c in x)
+    for old, new in pairs.items():
+        expression = f"replace({expression}, {chars(old)}, {chars(new)})"
+    return expression
+
+
+_IRI = lambda c: f"'<' || {_escaped(c, T.IRI_ESCAPES)} || '>'"
+ORACLES["turtle_lines"] = f"""SELECT {_IRI('subject')} || ' ' || {_IRI('predicate')} || ' ' || CASE WHEN starts_with(object, chr(34)) THEN chr(34) || {_escaped('substr(object, 2, length(object) - 2)', T.LITERAL_ESCAPES)} || chr(34)
+WHEN regexp_matches(object, '^-?[0-9]+$') THEN object ELSE {_IRI('object')} END || ' .' AS value FROM ({ORACLES['rdf_triples']})"""
