@@ -7,13 +7,16 @@ kind is edu, span or multinuc, and a child's relname says how it hangs from its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logosmill.operators import hierarchy as H
+from logosmill.operators.grouped import LOCAL_ROWS, by_size, on_whole_groups, places
 from logosmill.session import cut
 
 # Relation families.
@@ -22,6 +25,7 @@ SUBJECT_MATTER = (
     "otherwise interpretation means solutionhood sequence contrast joint list same-unit restatement summary evaluation comparison").split()
 PRESENTATIONAL = "motivation antithesis background enablement evidence justify concession preparation".split()
 THIN = ("joint", "same-unit", "organization")  # fixed values: relations that say little
+PATH_SLICE = 4_000_000  # characters of paths in a frame of results
 
 
 def tree_nodes(raw: DataFrame) -> DataFrame:
@@ -420,21 +424,73 @@ def build_actions(spans: DataFrame, key: str) -> DataFrame:
     return once.select(key, (F.row_number().over(w) - 1).alias("step"), F.when(F.col("s") == F.col("e"), "shift").otherwise("reduce").alias("action"), "s", "e")
 
 
-def tree_paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _path_rows(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The paths within whole trees, of rows of nodes (id, parent, r) and rows of pairs (source_id, target_id)."""
+    (own, up, source, target), n = places(part, ["tree_id"], ["id", "parent", "source_id", "target_id"])
+    node = np.flatnonzero(own >= 0)
+    if not len(node):
+        return
+    at = np.full(n + 1, -1, dtype=np.int64)  # the last place is that of nulls
+    at[own[node]] = np.arange(len(node))
+    parent = at[up[node]]
+    cycle, root, depth, anchor, _ = H.Contraction(parent).expanded()
+    good = ~cycle & (anchor < 0)
+    s, t = at[source], at[target]
+    pairs = pd.DataFrame({"s": s, "t": t})[(s >= 0) & (t >= 0) & good[s] & good[t] & (root[s] == root[t])].drop_duplicates()
+    found = part.loc[pairs.index, ["tree_id", "source_id", "target_id"]].reset_index(drop=True)
+    above, level, label = parent.tolist(), depth.tolist(), part["r"].to_numpy(dtype=object)[node].tolist()
+    paths: list[str] = []
+    begin = held = 0
+    for a, b in zip(pairs["s"].tolist(), pairs["t"].tolist()):
+        ups, downs = [], []
+        while a != b:
+            if level[a] >= level[b]:
+                ups.append("<" + label[a])
+                a = above[a]
+            else:
+                downs.append(">" + label[b])
+                b = above[b]
+        paths.append(" ".join(ups + downs[::-1]))
+        held += len(paths[-1])
+        if held >= PATH_SLICE:
+            yield found[begin : begin + len(paths)].assign(path=paths)
+            begin, held, paths = begin + len(paths), 0, []
+    if paths:
+        yield found[begin:].assign(path=paths)
+
+
+def _large_tree_paths(nodes: DataFrame, pairs: DataFrame, local_rows: int) -> DataFrame:
+    """:func:`tree_paths` by joins; labels are looked up only for the steps of the result.
+
+    Sizes that are guessed for paths fall far short, so no join is left free to broadcast.
+    """
+    ways = H.hierarchy(_links(nodes), local_rows).where("path is not null").select("tree_id", "id", "path")
+    ends = lambda own, path: ways.select("tree_id", F.col("id").alias(own), F.col("path").alias(path)).hint("merge")
+    both = pairs.select("tree_id", "source_id", "target_id").distinct().join(ends("source_id", "a"), ["tree_id", "source_id"]).join(ends("target_id", "b"), ["tree_id", "target_id"])
+    # Ids are unique in a tree, so paths from its root agree in a beginning and nowhere else.
+    both = both.withColumn("k", F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))).where("k > 0")
+    up = F.transform(F.reverse(F.slice("a", F.col("k") + 1, F.size("a"))), lambda x: F.struct(F.lit("<").alias("sign"), x.alias("on")))
+    down = F.transform(F.slice("b", F.col("k") + 1, F.size("b")), lambda x: F.struct(F.lit(">").alias("sign"), x.alias("on")))
+    steps = both.select("tree_id", "source_id", "target_id", F.posexplode_outer(F.concat(up, down)).alias("i", "x")).select("tree_id", "source_id", "target_id", "i", "x.sign", "x.on")
+    labelled = steps.join(nodes.select("tree_id", F.col("id").alias("on"), "r").hint("merge"), ["tree_id", "on"], "left")
+    step = F.when(F.col("on").isNotNull(), F.struct("i", F.concat("sign", "r").alias("step")))
+    return labelled.groupBy("tree_id", "source_id", "target_id").agg(F.sort_array(F.collect_list(step)).alias("p")).select(
+        "tree_id", "source_id", "target_id", F.array_join(F.col("p.step"), " ").alias("path"))
+
+
+def tree_paths(nodes: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(tree_id, source_id, target_id, path): the shortest way through the tree between two nodes, as the labels passed.
 
     A step up to a parent reads '<relation', one down to a child '>relation'.  A node's
     path to itself is empty; nodes of different trees, or on or below cycles, have none.
+    Trees of at most ``local_rows`` nodes and pairs are walked within tasks, so that
+    only the steps of the result are made; larger ones take joins.
     """
-    ways = H.hierarchy(_links(nodes)).select("tree_id", "id", "path").join(nodes.select("tree_id", "id", F.coalesce("relname", F.lit("")).alias("r")), ["tree_id", "id"])
-    # Labels along a node's path from the root, in the path's order.
-    steps = ways.select("tree_id", "id", F.posexplode("path").alias("i", "on")).join(ways.select("tree_id", F.col("id").alias("on"), "r"), ["tree_id", "on"])
-    labelled = steps.groupBy("tree_id", "id").agg(F.sort_array(F.collect_list(F.struct("i", "on", "r"))).alias("p"))
-    a = labelled.select("tree_id", F.col("id").alias("source_id"), F.col("p").alias("a"))
-    b = labelled.select("tree_id", F.col("id").alias("target_id"), F.col("p").alias("b"))
-    both = pairs.select("tree_id", "source_id", "target_id").distinct().join(a, ["tree_id", "source_id"]).join(b, ["tree_id", "target_id"])
-    shared = F.size(F.filter("a", lambda x: F.exists("b", lambda y: (x["i"] == y["i"]) & (x["on"] == y["on"]))))
-    joined = both.withColumn("k", shared).where("k > 0")
-    up = F.transform(F.reverse(F.slice("a", F.col("k") + 1, F.size("a"))), lambda x: F.concat(F.lit("<"), x["r"]))
-    down = F.transform(F.slice("b", F.col("k") + 1, F.size("b")), lambda x: F.concat(F.lit(">"), x["r"]))
-    return joined.select("tree_id", "source_id", "target_id", F.array_join(F.concat(up, down), " ").alias("path"))
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    of_nodes = nodes.where("id is not null").select("tree_id", "id", "parent", F.coalesce("relname", F.lit("")).alias("r"), *none("source_id", "target_id"))
+    of_pairs = pairs.where("source_id is not null and target_id is not null").select("tree_id", *none("id", "parent", "r"), "source_id", "target_id")
+    small, large = by_size(cut(of_nodes.unionByName(of_pairs).where("tree_id is not null")), ["tree_id"], local_rows)
+    out = on_whole_groups(small, ["tree_id"], _path_rows, "tree_id string, source_id string, target_id string, path string")
+    if large is None:
+        return out
+    return out.unionByName(_large_tree_paths(large.where("id is not null"), large.where("id is null"), local_rows))

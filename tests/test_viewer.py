@@ -43,6 +43,22 @@ def test_paths_and_actions(spark):
     assert [(r.action, r.s, r.e) for r in T.build_actions(spans, "k").orderBy("step").collect()] == [("shift", 1, 1), ("shift", 2, 2), ("reduce", 1, 2), ("shift", 3, 3), ("reduce", 1, 3)]
 
 
+def test_paths_are_not_broadcast(spark):
+    # 3 and 4 are a cycle and 5 is below it; 6 is an orphan.
+    odd = [("v", "1", None, None), ("v", "2", "1", "a"), ("v", "3", "4", "b"), ("v", "4", "3", "c"), ("v", "5", "4", "d"), ("v", "6", "gone", "e"), ("v", "7", "6", None), (None, "1", None, "f")]
+    nodes = spark.createDataFrame([*[(t, i, p, r) for t, i, p, _, r, *_ in TREE], *odd], "tree_id string, id string, parent string, relname string")
+    asked = [("t", "2", "3"), ("t", "2", "3"), ("t", "4", "2"), ("v", "2", "1"), ("v", "1", "6"), ("v", "3", "5"), ("v", "5", "5"), ("v", "7", "6"), ("v", "6", "6"), ("v", "1", None), ("w", "1", "1"), (None, "1", "1")]
+    pairs = spark.createDataFrame(asked, "tree_id string, source_id string, target_id string")
+    known = [("t", "2", "3", "<cause <span >joint"), ("t", "4", "2", ">span >cause"), ("v", "2", "1", "<a"), ("v", "6", "6", ""), ("v", "7", "6", "<")]
+    out = T.tree_paths(nodes, pairs)
+    assert rows(out) == known and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(T.tree_paths(nodes, pairs, 5)) == known
+    out = T.tree_paths(nodes, pairs, 8)  # v alone is larger, by its pairs; only the names of large trees may be broadcast
+    assert rows(out) == known
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and all("LeftAnti" in line for line in plan.split("\n") if "BroadcastHashJoin" in line)
+
+
 def test_realigned_and_phrases(spark):
     u = spark.createDataFrame([("d", 0, "ab c"), ("d", 1, " "), ("d", 2, "d,e f"), ("e", 0, "x")], "k string, unit_no bigint, text string")
     t = spark.createDataFrame([("d", i, w) for i, w in enumerate(["ab", "cd", ",", "e", "f", "g"])], "k string, ord int, token string")
